@@ -35,21 +35,23 @@ def quoted(s: str) -> str:
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """URLs with label 1 (block) or 0, made by rule from a few words each of unwanted and ordinary hosts."""
+    """URLs with label 1 (block) or 0, made by rule from a few words and syllables of unwanted and ordinary hosts; hyphens and digits are common in the former, not only there."""
     unwanted = ("casino", "pills", "bets", "spam", "adult", "ads", "loan", "poker", "replica", "crypto")
     lures = ("win", "cheap", "free", "farm", "x", "track", "fast", "best-deal")
     ordinary = ("news", "garden", "library", "weather", "travel", "recipes", "museum", "school", "science", "history")
+    syllables = ("ta", "ne", "ro", "mi", "the", "ell", "an", "ou", "in", "sto")
     words = ("daily", "river", "city", "open", "green", "north", "world", "modern")
     heads, tails = ("", "www.", "m.", "blog."), ("", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top")
     suffixes, langs = ("com", "net", "org"), ("en", "de", "fr", "es")
     out = []
     for i, (a, b) in enumerate((a, b) for a in range(10) for b in range(8)):
         bad = (f"{unwanted[a]}-{lures[b]}", f"{lures[b]}-{unwanted[a]}", f"{unwanted[a]}{lures[b]}{100 + 37 * i % 900}", f"{lures[b]}-{unwanted[a]}-{i}")[i % 4]
-        good = (ordinary[a], ordinary[a] + words[b], words[b] + ordinary[a], f"{words[b]}-{ordinary[a]}")[i % 4]
+        plain = syllables[a] + syllables[b] + (syllables[(a + 3 * b) % 10] if i % 3 else "")
+        good = (plain, ordinary[a] + words[b], plain[::-1], f"{words[b]}-{ordinary[a]}" if i % 8 == 3 else ordinary[a])[i % 4]
         for k, host in enumerate((bad, good)):
             for j in range(3):
                 n = 7 * i + 11 * j + 3 * k
-                url = f"{'https' if n % 3 else 'http'}://{heads[n % 4]}{host}.example.{suffixes[(i + j) % 3]}/{langs[n % 4]}/{(37 * n) % 990 + 7}{tails[n % 6]}"
+                url = f"{'https' if n % 3 else 'http'}://{heads[n % 4]}{host}.example.{suffixes[(i + j) % 3]}/{langs[n % 4]}/{7919 * n % 10 ** (1 + (n + k) % 6)}{tails[n % 6]}"
                 out.append((url, 1 - k))
     return out
 
