@@ -159,7 +159,7 @@ def train(docs: DataFrame, usable: Column | None = None, lang_col: str = "lang",
     if not sizes:
         return Model({})
     # each language's rows of the smallest hashes, about 2 * SAMPLE_ROWS different ones: one pass, whatever the number of languages
-    below = {r["lang"]: -(1 << 63) + int(min(1.0, 2 * SAMPLE_ROWS / max(1, r["n"])) * ((1 << 64) - 1)) for r in sizes}
+    below = {r["lang"]: -(1 << 63) + ((1 << 64) - 1) * min(2 * SAMPLE_ROWS, r["n"]) // max(1, r["n"]) for r in sizes}
     bound = docs.sparkSession.createDataFrame(list(below.items()), "lang string, bound long")  # MOST_LANGUAGES rows at most
     picked = known.join(F.broadcast(bound), "lang").where("h <= bound").groupBy("lang", "h").agg(F.min("t").alias("t"))
     texts: dict[str, list[str]] = {}
