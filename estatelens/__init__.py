@@ -1,0 +1 @@
+"""Software-estate analytics as Spark DataFrame programs."""

@@ -1,0 +1,185 @@
+"""Data-quality gates and reports. A gate is a frame of findings; what it means for an exit code is a small function beside it."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import matched_rule, text
+
+
+def missing_repo(nodes: DataFrame) -> bool:
+    """Whether no node at all has a repository."""
+    r = nodes.agg(F.count("*").alias("n"), F.count_if(text("repo") != "").alias("with_repo")).first()
+    return bool(r["n"]) and not r["with_repo"]
+
+
+def join_cardinality(nodes: DataFrame, index: DataFrame, layer: str = "_origin") -> DataFrame:
+    """By layer (absent: semantic), nodes with a file, those the index knows, and whether a layer with nodes joins nothing."""
+    known = index.select("repo", F.col("path").alias("source_file")).distinct().withColumn("hit", F.lit(1))
+    rows = nodes.where((text("source_file") != "") & (text("repo") != "")).join(known, ["repo", "source_file"], "left")
+    name = F.when(text(layer) == "", "semantic").otherwise(F.col(layer))
+    return rows.groupBy(name.alias("layer")).agg(F.count("*").alias("nodes"), F.count("hit").alias("joined")).withColumn("dead", F.col("joined") == 0)
+
+
+def evidence_findings(values: DataFrame, rules=None) -> DataFrame:
+    """(ticket, field, rule) of stored values that a redaction rule still matches; the values themselves don't show."""
+    return values.withColumn("rule", matched_rule(F.col("value"), rules)).where("rule IS NOT NULL").groupBy("ticket", "field", "rule").agg(F.count("*").alias("n"))
+
+
+def unsynced(declared: DataFrame, recorded: DataFrame, key: str = "name") -> DataFrame:
+    return declared.join(recorded.select(key), key, "left_anti")
+
+
+def outstanding(keys: DataFrame, cache: DataFrame) -> DataFrame:
+    """Ticket keys without a final outcome: never asked, malformed, or denied."""
+    final = cache.where(F.col("outcome").isin("fetched", "absent")).select("ticket")
+    return keys.join(final, "ticket", "left_anti")
+
+
+def pages_of(keys: DataFrame, size: int = 100) -> DataFrame:
+    """Keys in order, in pages of ``size``: range partitions are counted, then numbered."""
+    from .graph import with_rank
+
+    return with_rank(keys.distinct(), F.col("ticket"), name="i").withColumn("page", F.floor(F.col("i") / size)).drop("i")
+
+
+def prefix_states(keys: DataFrame, allowed: tuple[str, ...], denied: tuple[str, ...]) -> DataFrame:
+    """(prefix, state, n): denied wins over allowed; a prefix in neither list is undecided."""
+    prefix = F.regexp_extract("ticket", "^(.*)-[^-]*$", 1)
+    none = F.lit(False)
+    state = F.when(prefix.isin(*denied) if denied else none, "denied").when(prefix.isin(*allowed) if allowed else none, "allowed").otherwise("undecided")
+    return keys.groupBy(prefix.alias("prefix"), state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def digests(contents: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
+    """(name, digest): the first sixteen hex digits of SHA-256; absent content has none."""
+    return contents.select(name, F.substring(F.sha2(F.col(content).cast("binary"), 256), 1, 16).alias("digest"))
+
+
+def drifted(recorded: DataFrame, current: DataFrame) -> DataFrame:
+    """Inputs whose digest isn't the recorded one."""
+    r = recorded.select("name", F.col("digest").alias("recorded"))
+    return current.join(r, "name", "left").where(~F.col("digest").eqNullSafe(F.col("recorded")))
+
+
+def partitioner_verdict(recorded: Column, here: Column) -> Column:
+    """undeterminable (this environment's isn't known), unrecorded, same or different."""
+    return F.when(here.isNull(), "undeterminable").when(recorded.isNull(), "unrecorded").when(recorded == here, "same").otherwise("different")
+
+
+def unmatched_rules(rules: DataFrame, repos: DataFrame) -> DataFrame:
+    """Including rules that no listed repository matches; (line, kind, value) against (name)."""
+    shape = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"([.+^$(){}|\\\[\]])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
+    named = rules.where(F.col("kind").isin("repo", "fetch")).join(repos.select(F.col("name").alias("value")), "value", "left_semi")
+    # rules are a hand-written list; only prefixes and patterns need a comparison with each name
+    loose = rules.where(F.col("kind").isin("prefix", "match")).withColumn("shape", F.when(F.col("kind") == "match", shape))
+    hit = repos.select("name").join(F.broadcast(loose), F.when(F.col("kind") == "prefix", F.col("name").startswith(F.col("value"))).otherwise(F.col("name").rlike(F.col("shape")))).select("line").distinct()
+    return rules.where("kind <> 'exclude'").join(named.select("line"), "line", "left_anti").join(hit, "line", "left_anti")
+
+
+def selected(repos: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Repositories that the rules select: exclude wins; then names, fetched names, prefixes and case-sensitive patterns include."""
+    by: dict[str, list[str]] = {}
+    for kind, value in rules:
+        by.setdefault(kind, []).append(value)
+    name, keep = F.col("name"), F.lit(False)
+    for k in ("repo", "fetch"):
+        if k in by:
+            keep = keep | name.isin(*by[k])
+    for p in by.get("prefix", []):
+        keep = keep | name.startswith(p)
+    for p in by.get("match", []):
+        keep = keep | name.rlike(glob_regex(p))
+    return repos.where(keep & ~name.isin(*by["exclude"])) if "exclude" in by else repos.where(keep)
+
+
+def glob_regex(pattern: str) -> str:
+    """A shell pattern as an anchored Java regular expression."""
+    out, i = [], 0
+    while i < len(pattern):
+        c = pattern[i]
+        end = pattern.find("]", i + 2) if c == "[" else -1
+        if end > 0:
+            body = pattern[i + 1 : end]
+            out.append("[" + ("^" + body[1:] if body[0] == "!" else body).replace("\\", "\\\\").replace("[", "\\[") + "]")
+            i = end
+        else:
+            out.append({"*": ".*", "?": "."}.get(c, "\\" + c if not c.isalnum() else c))
+        i += 1
+    return "(?s)^" + "".join(out) + "$"
+
+
+def latest_synced(provenance: DataFrame, group: str | None = None, committed: str = "committed") -> DataFrame:
+    """The local date of the latest instant; timestamps that don't parse don't count."""
+    day = F.max_by(F.substring(committed, 1, 10), F.try_to_timestamp(committed)).alias("latest")
+    rows = provenance.where(F.try_to_timestamp(F.col(committed)).isNotNull())
+    return rows.groupBy(group).agg(day) if group else rows.agg(day)
+
+
+def chunk_plan(files: DataFrame, size: int = 22) -> DataFrame:
+    """(chunk, pos, path) of detected files (kind, path): each image a chunk, then each directory's files in order, ``size`` to a chunk.
+
+    Directories are never mixed. Only one row a directory meets in one place, to number the chunks.
+    """
+    from pyspark.sql import Window
+
+    from .graph import with_rank
+
+    folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise(".")
+    image = F.col("kind") == "image"
+    rows = files.select("path", F.when(image, F.concat(F.lit("0"), F.col("path"))).otherwise(F.concat(F.lit("1"), folder)).alias("group"))
+    ranked = with_rank(rows, F.col("group"), F.col("path"), name="i")  # a directory of any size is spread over tasks
+    parts = ranked.groupBy("group").agg(F.ceil(F.count("*") / size).alias("n"), F.min("i").alias("first"))
+    parts = parts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = ranked.join(parts, "group").withColumn("rn", F.col("i") - F.col("first"))
+    return out.select(F.lpad((F.col("start") + F.floor(F.col("rn") / size) + 1).cast("string"), 4, "0").alias("chunk"), (F.col("rn") % size).cast("long").alias("pos"), "path")
+
+
+def suffix_counts(paths: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """Suffixes without an extractor, by number of files."""
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    return paths.where((suffix != "") & ~suffix.isin(*known)).groupBy(suffix.alias("suffix")).agg(F.count("*").alias("n"))
+
+
+# Names that a harness reads as instructions, folders that it loads whole, and keys that it would run.
+INSTRUCTION_FILES = ("CLAUDE.md", "AGENTS.md", "GEMINI.md", "SKILL.md", ".cursorrules", "copilot-instructions.md")
+CONFIG_DIRS = (".claude", ".cursor", ".github/agents")
+EXECUTABLE_KEYS = ("hooks", "command")
+# Directories of fixtures, and suffixes of convertible documents.
+FIXTURE_PARTS = ("test", "tests", "target", "test-classes", "node_modules", ".git", "wiremock")
+FIXTURE_TREE = r"(?i)^(unit|integration|functional|acceptance|smoke|e2e|contract|component|api|perf)[-_]?tests?$"
+CONVERTIBLE = (".docx", ".xlsx", ".pptx", ".doc", ".xls", ".ppt", ".csv")
+
+
+def corpus_config(files: DataFrame) -> DataFrame:
+    """(path, finding) of a corpus (path, content): instructions, config-dir (named once) and executable settings; nothing below .git."""
+    name = F.substring_index("path", "/", -1)
+    run = F.lit(False)
+    for k in EXECUTABLE_KEYS:
+        run = run | F.get_json_object("content", f"$.{k}").isNotNull()
+    rows = files.where(~F.array_contains(F.split("path", "/"), ".git"))
+    one = rows.select("path", F.when(name.isin(*INSTRUCTION_FILES), "instructions").when((name == "settings.json") & run, "executable").alias("finding")).where("finding IS NOT NULL")
+    dirs = [F.regexp_extract("path", r"^((?:.*/)?[^/]*\Q" + d + r"\E)/", 1) for d in CONFIG_DIRS]
+    folders = rows.select(F.explode(F.filter(F.array(*dirs), lambda d: d != "")).alias("path")).distinct().withColumn("finding", F.lit("config-dir"))
+    return one.unionByName(folders)
+
+
+def is_fixture_path(path: Column) -> Column:
+    return F.exists(F.split(path, "/"), lambda p: p.isin(*FIXTURE_PARTS) | p.rlike(FIXTURE_TREE))
+
+
+def convertible(files: DataFrame) -> DataFrame:
+    """Office documents to convert, fixtures aside."""
+    kind = F.lit(False)
+    for s in CONVERTIBLE:
+        kind = kind | F.lower("path").endswith(s)
+    return files.where(kind & ~is_fixture_path(F.col("path")))
+
+
+def shell_commands(docs: DataFrame, content: str = "content") -> DataFrame:
+    """(…, command) of the fenced shell blocks of Markdown: continued lines joined, comments and prompts off."""
+    blocks = F.regexp_extract_all(content, F.lit(r"(?ms)^```(?:bash|sh|shell|console)\s*\n(.*?)^```"), F.lit(1))
+    lines = F.split(F.regexp_replace(F.array_join(blocks, "\n"), r"\\\n\s*", " "), "\n")
+    clean = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(^|\s)#.*$", ""), r"^\s*\$\s+", "")))
+    return docs.select(*[c for c in docs.columns if c != content], F.explode(F.filter(clean, lambda x: x != "")).alias("command"))

@@ -1,0 +1,106 @@
+"""The issue tracker: what to ask, the records that come back, and the cache they are kept in."""
+
+from __future__ import annotations
+
+import json
+import time
+import urllib.parse
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import redact, text, truncate
+from ..operators.gates import outstanding, pages_of
+from ..settings import DEFAULTS, Settings
+
+MAX_TRIES, MAX_WAIT = 3, 300.0
+
+
+def retry_delay(retry_after: str | None, default: float = 1.0) -> float:
+    """Seconds to wait: what the server asks for, within bounds."""
+    try:
+        wait = float(str(retry_after).strip())
+    except ValueError:
+        wait = default
+    return min(max(wait, 0.0), MAX_WAIT)
+
+
+def search_url(base: str, keys: Iterable[str], fields: Iterable[str]) -> str:
+    keys = list(keys)
+    query = urllib.parse.urlencode({"jql": f"key in ({','.join(keys)})", "fields": ",".join(fields), "maxResults": len(keys)})
+    return f"{base.rstrip('/')}/rest/api/2/search?{query}"
+
+
+def fetch_page(opener: Callable[[str], tuple[int, dict, bytes]], url: str, sleep: Callable[[float], None] = time.sleep) -> tuple[str, list[dict]]:
+    """('fetched' | 'denied' | 'failed', issues) of one page; throttled and broken answers are tried again, a bounded number of times."""
+    for k in range(MAX_TRIES):
+        status, headers, body = opener(url)
+        if status == 200:
+            return "fetched", json.loads(body).get("issues", [])
+        if status in (401, 403):
+            return "denied", []
+        if status not in (429, 500, 502, 503, 504):
+            return "failed", []
+        if k + 1 < MAX_TRIES:
+            sleep(retry_delay(headers.get("Retry-After")))
+    return "failed", []
+
+
+ISSUES = "ticket string, summary string, type string, status string, resolution string, created string, resolved string, parent string, description string, comments array<string>"
+
+
+def projected(issues: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Raw issue rows (``ISSUES``) as cache records: texts redacted, days only, empty values null, comments without noise, cut, then redacted."""
+    rules = settings.sensitive_patterns
+    clean = lambda c: F.nullif(redact(F.col(c), rules), F.lit(""))
+    day = lambda c: F.nullif(F.substring(text(c), 1, 10), F.lit(""))
+
+    def comment(x: Column) -> Column:
+        return redact(truncate(x, settings.comment_chars), rules)
+
+    told = F.filter(F.coalesce("comments", F.array().cast("array<string>")), lambda x: x.isNotNull() & x.rlike(r"(?U)\S") & ~x.rlike(settings.comment_noise))
+    kept = F.transform(told, comment)
+    return issues.select(
+        "ticket", F.lit("fetched").alias("outcome"), redact(F.col("summary"), rules).alias("summary"), clean("type").alias("type"), clean("status").alias("status"), clean("resolution").alias("resolution"),
+        day("created").alias("created"), day("resolved").alias("resolved"), F.nullif(text("parent"), F.lit("")).alias("parent"), clean("description").alias("description"), F.when(F.size(kept) > 0, kept).alias("comments"),
+    )
+
+
+def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """The cache with new outcomes; a denied answer never replaces a final one."""
+    cols = cache.columns
+    rank = lambda c: F.when(F.col(c) == "denied", 0).otherwise(1)
+    both = cache.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    best = both.groupBy("ticket").agg(F.max_by(F.struct(*[c for c in cols if c != "ticket"]), F.struct(rank("outcome").alias("r"), "_new")).alias("x"))
+    return best.select("ticket", "x.*").select(*cols)
+
+
+def to_ask(keys: DataFrame, cache: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(ticket, page): allowed keys without a final outcome, in pages."""
+    prefix = F.regexp_extract("ticket", "^(.*)-[^-]*$", 1)
+    ok = prefix.isin(*settings.tracker_projects) if settings.tracker_projects else F.lit(False)
+    ok = ok & ~prefix.isin(*settings.tracker_deny) if settings.tracker_deny else ok
+    return pages_of(outstanding(keys.where(ok).select("ticket"), cache), settings.page_size)
+
+
+def run(spark, keys: DataFrame, cache: DataFrame, base: str, opener, keep: Callable[[DataFrame], None], settings: Settings = DEFAULTS, sleep=time.sleep) -> dict[str, int]:
+    """Asks page by page, one request in flight, and hands each page's outcomes to ``keep`` before the next: a run that ends goes on where it was."""
+    report = {"fetched": 0, "absent": 0, "denied": 0, "failed": 0, "requests": 0}
+    asked = to_ask(keys, cache, settings).groupBy("page").agg(F.array_sort(F.collect_list("ticket")).alias("keys")).orderBy("page")
+    for page in asked.toLocalIterator():
+        outcome, issues = fetch_page(opener, search_url(base, page["keys"], ("summary", "issuetype", "status", "resolution", "created", "resolutiondate", "parent")), sleep)
+        report["requests"] += 1
+        if outcome == "failed":
+            report["failed"] += len(page["keys"])
+            continue
+        found = {str(i.get("key")): i.get("fields") or {} for i in issues}
+        name = lambda f, k, a="name": f[k].get(a) if isinstance(f.get(k), dict) else None
+        rows = [(k, f.get("summary"), name(f, "issuetype"), name(f, "status"), name(f, "resolution"), f.get("created"), f.get("resolutiondate"), name(f, "parent", "key"), f.get("description"), None) for k, f in found.items()]
+        done = projected(spark.createDataFrame(rows, ISSUES), settings)
+        other = "denied" if outcome == "denied" else "absent"
+        rest = spark.createDataFrame([(k, other) for k in page["keys"] if k not in found], "ticket string, outcome string")
+        keep(done.unionByName(rest, allowMissingColumns=True))
+        report["fetched"] += len(found)
+        report[other] += len(page["keys"]) - len(found)
+    return report
