@@ -116,7 +116,7 @@ class Model:
                 hits[start] = w
         if harmless:
             hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in harmless)}
-        return sum(hits.values()), folded.count(" ") - 1
+        return sum(hits.values()), folded.count(" ") - 1 if len(folded) > 2 else 0
 
     @staticmethod
     def inputs(weight: float, words: int) -> tuple[float, float]:

@@ -94,12 +94,17 @@ def feature_sql(rates: dict[str, float], prior: float, dialect: str = "spark") -
         labels = "list_filter(string_split(host, '.'), lambda x: host <> '')"
         entropy = "-list_sum(list_transform(list_distinct(string_split(host, '')), lambda c: (length(host) - length(replace(host, c, ''))) / length(host) * log2((length(host) - length(replace(host, c, ''))) / length(host))))"
         n_labels, longest, suffix = f"len({labels})", f"coalesce(list_max(list_transform({labels}, lambda x: length(x))), 0)", "regexp_extract(host, '[^.]*$')"
-    cases = " ".join(f"WHEN {quoted(k)} THEN {v!r}" for k, v in sorted(rates.items()))
-    rate = f"CASE {suffix} {cases} ELSE {prior!r} END" if rates else repr(prior)
+    cases = " ".join(f"WHEN {quoted(k)} THEN {number(v)}" for k, v in sorted(rates.items()))
+    rate = f"CASE {suffix} {cases} ELSE {number(prior)} END" if rates else number(prior)
     exprs = ("length(u)", "length(host)", count_sql("path", "/"), f"{digits} / greatest(1, length(u))", f"CASE WHEN host = '' THEN 0 ELSE {entropy} END", count_sql("rest", "="), count_sql("host", "-"), n_labels, longest, rate)
     return {k: f"CAST({e} AS DOUBLE)" for k, e in zip(FEATURES, exprs)}
 
 
+def number(v: float) -> str:
+    """A literal that is a double in Spark and elsewhere, not a decimal."""
+    return repr(v) if "e" in repr(v) else f"{v!r}E0"
+
+
 class Trees:
     """Depth-two trees of a logistic boosting, each three (feature, threshold) cuts and four leaf values."""
 
@@ -113,9 +118,9 @@ class Trees:
         """The margin as SQL over the features' names."""
 
         def cut(c):
-            return f"{FEATURES[c[0]]} <= {c[1]!r}"
+            return f"{FEATURES[c[0]]} <= {number(c[1])}"
 
-        return " + ".join([f"({self.bias!r})"] + [f"CASE WHEN {cut(a)} THEN CASE WHEN {cut(b)} THEN {v[0]!r} ELSE {v[1]!r} END ELSE CASE WHEN {cut(c)} THEN {v[2]!r} ELSE {v[3]!r} END END" for a, b, c, v in self.trees])
+        return " + ".join([f"({number(self.bias)})"] + [f"CASE WHEN {cut(a)} THEN CASE WHEN {cut(b)} THEN {v[0]} ELSE {v[1]} END ELSE CASE WHEN {cut(c)} THEN {v[2]} ELSE {v[3]} END END" for a, b, c, leaf in self.trees for v in [list(map(number, leaf))]])
 
 
 def best_cut(rows: list[list[float]], idx: list[int], grad: list[float], hess: list[float]) -> tuple[int, float]:
