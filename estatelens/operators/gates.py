@@ -74,7 +74,7 @@ def unmatched_rules(rules: DataFrame, repos: DataFrame) -> DataFrame:
     named = rules.where(F.col("kind").isin("repo", "fetch")).join(repos.select(F.col("name").alias("value")), "value", "left_semi")
     # rules are a hand-written list; only prefixes and patterns need a comparison with each name
     loose = rules.where(F.col("kind").isin("prefix", "match")).withColumn("shape", F.when(F.col("kind") == "match", shape))
-    hit = repos.select("name").join(F.broadcast(loose), F.when(F.col("kind") == "prefix", F.col("name").startswith(F.col("value"))).otherwise(F.col("name").rlike(F.col("shape")))).select("line").distinct()
+    hit = repos.select("name").join(F.broadcast(loose), F.when(F.col("kind") == "prefix", F.col("name").startswith(F.col("value"))).otherwise(F.rlike("name", F.col("shape")))).select("line").distinct()
     return rules.where("kind <> 'exclude'").join(named.select("line"), "line", "left_anti").join(hit, "line", "left_anti")
 
 
@@ -180,6 +180,6 @@ def convertible(files: DataFrame) -> DataFrame:
 def shell_commands(docs: DataFrame, content: str = "content") -> DataFrame:
     """(…, command) of the fenced shell blocks of Markdown: continued lines joined, comments and prompts off."""
     blocks = F.regexp_extract_all(content, F.lit(r"(?ms)^```(?:bash|sh|shell|console)\s*\n(.*?)^```"), F.lit(1))
-    lines = F.split(F.regexp_replace(F.array_join(blocks, "\n"), r"\\\n\s*", " "), "\n")
+    lines = F.split(F.regexp_replace(F.array_join(blocks, "\n"), r"[ \t]*\\\n\s*", " "), "\n")
     clean = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(^|\s)#.*$", ""), r"^\s*\$\s+", "")))
     return docs.select(*[c for c in docs.columns if c != content], F.explode(F.filter(clean, lambda x: x != "")).alias("command"))

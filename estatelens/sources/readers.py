@@ -9,16 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NODE = T.StructType.fromDDL(
-    "id string, label string, norm_label string, repo string, source_file string, source_location string, community bigint, file_type string, type string, _origin string, local_id string, "
-    "metadata struct<kind:string,tickets:array<string>,service:string,environment:string,config:map<string,string>>"
-)
-LINK = T.StructType.fromDDL("source string, target string, relation string, confidence string, confidence_score double, source_file string, weight double")
-COMMIT = T.StructType.fromDDL(
-    "repository string, repository_url string, sha string, short_sha string, parents array<string>, author_date string, committer_date string, author struct<name:string,email:string>, "
-    "committer struct<name:string,email:string>, refs array<string>, subject string, body string, files array<struct<path:string,additions:bigint,deletions:bigint,binary:boolean>>, "
-    "file_count bigint, additions bigint, deletions bigint, is_merge boolean"
-)
+from .schemas import COMMIT, LINK, NODE
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -127,12 +127,13 @@ def markdown_html(md: str, **links) -> str:
 def to_html(docs: DataFrame, col: str, out: str = "html", **links) -> DataFrame:
     """``docs`` with the HTML of a Markdown column, in Arrow batches."""
     kept = [f for f in docs.schema.fields if f.name != out]
-    at = docs.columns.index(col)
+    at, names = docs.columns.index(col), [f.name for f in kept]
+    places = [docs.columns.index(n) for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = pa.array([None if x is None else markdown_html(x, **links) for x in b.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(docs.columns.index(f.name)) for f in kept), made], names=[*(f.name for f in kept), out])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), made], names=[*names, out])
 
     from pyspark.sql import types as T
 

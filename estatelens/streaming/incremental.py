@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import tickets_of
-from ..sources.readers import COMMIT
+from ..sources.schemas import COMMIT
 
 
 def commit_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
