@@ -8,7 +8,8 @@ code points found in at least ``min_docs`` documents lose all their lines except
 2. Hashes that reach ``min_docs`` are dealt to shards by their bits. Each shard builds a minimal perfect hash of its own
    (buckets by one half of the hash, a displacement for each bucket, placed largest first) and lays fingerprint, count and
    largest id out in arrays that the hash indexes.
-3. The arrays, in blocks of a checked size, go to the executors, and the documents probe them in a narrow pass: no line is joined.
+3. The arrays, in blocks of a checked size, go to the executors, and the documents probe them in a narrow pass: no line is
+   joined. Only an index of more than ``MOST_BLOCKS`` blocks stays where it is, and the probes go to its shards.
 
 Edge cases: null or empty text is one empty line. A null id counts as a document and as the smallest id. Rows that repeat
 a doc_id count as documents each; those with the largest id all keep their lines. An empty table gives an empty result.
@@ -31,6 +32,8 @@ from .common import annotate, arrow_limits, blocks, byte_texts, cut, table
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys of a shard on average.
 SHARD_KEYS = 20_000
+#: Blocks of the index that are sent to the tasks at most, and probes of a group beyond that.
+MOST_BLOCKS, PROBES = 8, 1_000_000
 NO_ID = -(1 << 63)
 
 
@@ -158,17 +161,92 @@ class LineIndex:
         return found, last
 
 
+def probes_of(lines: list[list[bytes]], min_chars: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+    """Of the texts' lines the eligible ones: (text, line) and both halves of their keys' hashes."""
+    row, line, h1, h2 = [], [], [], []
+    for r, own in enumerate(lines):
+        for k, x in enumerate(own):
+            key = line_key(x)
+            if eligible(key, min_chars):
+                a, b = key_hash(key)
+                row.append(r)
+                line.append(k)
+                h1.append(a)
+                h2.append(b)
+    return row, line, np.array(h1, np.int64), np.array(h2, np.int64)
+
+
+def lines_of(texts: pa.Array) -> list[list[bytes]]:
+    return [(t or b"").split(b"\n") for t in byte_texts(texts)]
+
+
+def results_of(lines: list[list[bytes]], drops: list) -> list[pa.Array]:
+    """The result columns, from the lines and the numbers of those that go."""
+    kept = []
+    for own, gone in zip(lines, drops):
+        gone = set(gone or ())
+        kept.append(b"\n".join([x for k, x in enumerate(own) if k not in gone] if gone else own))
+    return [pa.array(list(map(len, lines)), pa.int64()), pa.array([len(x or ()) for x in drops], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+
+
+def routed_drops(docs: DataFrame, index: DataFrame, n_shards: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text_hash, _dead_lines), for an index too large to send to every task: probes go to the shards' arrays instead.
+
+    A shard's probes are dealt over as many salts, each with a copy of the arrays, as keep a group near ``PROBES`` rows,
+    so a line that a third of all documents hold is in no single group. Rows of equal id and text share their result.
+    """
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, line, h1, h2 = probes_of(lines_of(b.column(2)), min_chars)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line, pa.int32()), pa.array(h1), pa.array(h2)], names=["id", "th", "line", "h1", "h2"])
+
+    probes = own.mapInArrow(probe, "id long, th long, line int, h1 long, h2 long").withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int"))
+    most = probes.groupBy("shard").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    salts = -(-most // PROBES) or 1
+    left = probes.withColumn("salt", F.pmod(F.xxhash64("th", "line"), F.lit(salts)).cast("int"))
+    right = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(int(salts) - 1))))
+
+    def answer(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["id", "th", "line"]
+        if a.num_rows and b.num_rows:
+            part = LineIndex([tuple(b.column(c)[0].as_py() for c in ("shard", "n_keys", "displacements", "fingerprints", "counts", "last_ids"))], n_shards)
+            found, last = part.last_ids(a.column("h1").to_numpy(), a.column("h2").to_numpy())
+            dead = found & (last != a.column("id").to_numpy())
+            return a.filter(pa.array(dead)).select(names)
+        return a.slice(0, 0).select(names)
+
+    dead = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInArrow(answer, "id long, th long, line int")
+    return dead.distinct().groupBy(F.col("id").alias("_id"), F.col("th").alias("_text_hash")).agg(F.collect_list("line").alias("_dead_lines"))
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", out_col: str = "kept_text", drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with n_lines, n_dropped and ``out_col``, the text without the lines that repeat in other documents.
 
-    The documents pass once for each block of the index; an index within the limit of a broadcast is one block.
+    Up to ``MOST_BLOCKS`` blocks of the index are sent to the tasks, and the documents pass once for each; one block is the
+    rule. Beyond that, the probes are sent to the index (``routed_drops``).
     """
     sc = docs.sparkSession.sparkContext
     index, n_shards = build_index(line_counts(docs, min_chars, min_docs, id_col, text_col))
     size = "length(displacements) + length(fingerprints) + length(counts) + length(last_ids)"
     n_blocks, parts = blocks(index.select("shard", "n_keys", "displacements", "fingerprints", "counts", "last_ids"), size)
-    out, dead = docs, "_dead_lines"
+    dead = "_dead_lines"
     results = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField(out_col, T.StringType())]
+    if n_blocks > MOST_BLOCKS:
+        drops = routed_drops(docs, index, n_shards, min_chars, id_col, text_col)
+        keyed = docs.withColumns({"_i": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(text_col)})
+        joined = keyed.join(drops, (F.col("_i") == F.col("_id")) & (F.col("_h") == F.col("_text_hash")), "left")
+
+        def finish():
+            def work(texts: pa.Array, gone: pa.Array) -> list[pa.Array]:
+                return results_of(lines_of(texts), gone.to_pylist())
+
+            return work
+
+        return annotate(joined.drop("_i", "_h", "_id", "_text_hash"), [text_col, dead], finish, results, drop=(dead, *drop))
+    out = docs
     for n, block in enumerate(parts):
         sent, first, last = sc.broadcast([tuple(r) for r in block]), n == 0, n == n_blocks - 1
 
@@ -178,28 +256,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             def work(ids: pa.Array, texts: pa.Array, *before: pa.Array) -> list[pa.Array]:
                 ids = [NO_ID if i is None else i for i in ids.cast(pa.int64()).to_pylist()]
                 drops = [[] for _ in ids] if first else before[0].to_pylist()
-                lines = [(t or b"").split(b"\n") for t in byte_texts(texts)]
-                row, line, h1, h2 = [], [], [], []
-                for r, own in enumerate(lines):
-                    for k, x in enumerate(own):
-                        key = line_key(x)
-                        if eligible(key, min_chars):
-                            a, b = key_hash(key)
-                            row.append(r)
-                            line.append(k)
-                            h1.append(a)
-                            h2.append(b)
+                lines = lines_of(texts)
+                row, line, h1, h2 = probes_of(lines, min_chars)
                 if row:
-                    found, last_id = index.last_ids(np.array(h1, np.int64), np.array(h2, np.int64))
+                    found, last_id = index.last_ids(h1, h2)
                     for j in np.flatnonzero(found).tolist():
                         if ids[row[j]] != last_id[j]:
                             drops[row[j]].append(line[j])
-                if not last:
-                    return [pa.array(drops, pa.list_(pa.int32()))]
-                kept = []
-                for own, gone in zip(lines, map(set, drops)):
-                    kept.append(b"\n".join([x for k, x in enumerate(own) if k not in gone] if gone else own))
-                return [pa.array(list(map(len, lines)), pa.int64()), pa.array(list(map(len, drops)), pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+                return results_of(lines, drops) if last else [pa.array(drops, pa.list_(pa.int32()))]
 
             return work
 

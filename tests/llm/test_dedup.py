@@ -45,6 +45,15 @@ def test_line_dedup_in_blocks_and_shards(docs, corpus, monkeypatch):
     assert Counter(got) == Counter(brute_lines(corpus))
 
 
+def test_line_dedup_with_routed_probes(docs, corpus, empty, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST_BLOCKS", 0)
+    monkeypatch.setattr(line_dedup, "PROBES", 5)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+    got = [tuple(r) for r in line_dedup.dedup_lines(docs, out_col="text").select("doc_id", "n_lines", "n_dropped", "text").collect()]
+    assert Counter(got) == Counter(brute_lines(corpus))
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
 def test_line_dedup_edges(spark, empty, docs):
     assert line_dedup.dedup_lines(empty).count() == 0
     clash = docs.withColumns({"N_Lines": F.lit("x"), "kept_text": F.lit(1), "other": F.lit(2)})
