@@ -53,7 +53,7 @@ def repeated_words(words: str) -> str:
 def line_verdict(line: str, seen: str) -> str:
     """Whether a line with a word fails; n and y are its words and symbols."""
     return (
-        f"{seen} OR ({line} RLIKE '(?i)({BOILERPLATE})' AND n <= {BOILERPLATE_WORDS})"
+        f"{seen} OR (n <= {BOILERPLATE_WORDS} AND {line} RLIKE '(?i)({BOILERPLATE})')"
         f" OR (y >= 3 AND (y >= {SYMBOLS} * n OR regexp_count({line}, '[|<>]') >= greatest(3, {SEPARATORS} * n)))"
         f" OR (n >= {LONG_LINE} AND NOT {line} RLIKE '[.!?;:]')"
     )
