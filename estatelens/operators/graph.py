@@ -108,7 +108,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, hops: int, cap: int | None = None) -
     seen = seeds.select("node").distinct().withColumn("dist", F.lit(0))
     front = seen
     for d in range(1, hops + 1):
-        if cap is not None and seen.limit(cap).count() >= cap:
+        if cap is not None and d > 1 and seen.limit(cap + 1).count() > cap:
             break
         new = edges.join(front.select("node"), "node").select(F.col("other").alias("node")).distinct()
         front = new.join(seen.select("node"), "node", "left_anti").withColumn("dist", F.lit(d))
