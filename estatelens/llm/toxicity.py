@@ -33,7 +33,7 @@ from .simhash import fingerprint
 #: Bound of the sample that the lexicon and the logistic function are fitted on, in labelled rows.
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
 #: Most entries that are learned, their least log-odds, and the chance that an entry is an accident, at most.
-MAX_ENTRIES, LEAST_WEIGHT, CHANCE = 5000, 2.5, 1e-7
+MAX_ENTRIES, LEAST_WEIGHT, CHANCE = 5000, 1.5, 1e-7
 STEM_LENGTHS = range(3, 9)
 NEAR_BITS = 5
 
@@ -128,34 +128,45 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y))))
 
 
+def evidence(t: int, c: int, share: float) -> float:
+    """How far t of t + c is above its expected share: the exponent of the chance of that (Chernoff's bound)."""
+    n = t + c
+    return t * math.log(t / (n * share)) + (c * math.log(c / (n * (1 - share))) if c else 0.0) if t > n * share else 0.0
+
+
 def choose_entries(counts: list[tuple[str, int, int]], toxic: int, clean: int, least: int = 5) -> dict[str, float]:
     """Of (feature, toxic texts, clean texts) the entries and their weights.
 
-    Whole words come first. A stem becomes an entry for what the chosen words under it leave of its count; the longest
-    stem that keeps nine tenths of that count stands for the shorter ones.
+    Whole words come first. A stem becomes an entry for what the chosen words under it leave of its counts, if that still
+    weighs enough; the longest stem that keeps nine tenths of it stands for the shorter ones.
     """
-    heavy = {}
-    for f, t, c in counts:
-        w = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        if w >= LEAST_WEIGHT:
-            heavy[f] = (t, w)
-    out = {f: w for f, (t, w) in heavy.items() if f[-1] == " "}
-    left = Counter({f: t for f, (t, _) in heavy.items() if f[-1] != " "})
-    for f in out:
+
+    def weight(t: int, c: int) -> float:
+        return math.log((max(t, 0) + 0.5) / (toxic + 1)) - math.log((max(c, 0) + 0.5) / (clean + 1))
+
+    def good(t: int, c: int) -> bool:
+        return t >= least and weight(t, c) >= LEAST_WEIGHT and evidence(t, max(c, 0), toxic / (toxic + clean)) >= -math.log(CHANCE)
+
+    words = {f: (t, c) for f, t, c in counts if f[-1] == " " and good(t, c)}
+    left = {f: [t, c] for f, t, c in counts if f[-1] != " "}
+    for f, (t, c) in words.items():
         for n in STEM_LENGTHS:
             if f[: n + 1] in left:
-                left[f[: n + 1]] -= heavy[f][0]
+                left[f[: n + 1]][0] -= t
+                left[f[: n + 1]][1] -= c
+    left = {f: x for f, x in left.items() if good(*x)}
     longer: dict[str, list[str]] = {}
     for f in left:
         longer.setdefault(f[:-1], []).append(f)
+    out = {f: weight(*x) for f, x in words.items()}
     taken: set[str] = set()
     for f in sorted(left, key=lambda x: (len(x), x)):
-        if left[f] < least or any(f[:n] in taken for n in range(2, len(f) + 1)):
+        if any(f[:n] in taken for n in range(2, len(f) + 1)):
             continue
         taken.add(f)
-        while more := [g for g in longer.get(f, ()) if left[g] >= 0.9 * left[f]]:
-            f = max(more, key=lambda g: (left[g], g))
-        out[f] = heavy[f][1]
+        while more := [g for g in longer.get(f, ()) if left[g][0] >= 0.9 * left[f][0]]:
+            f = max(more, key=lambda g: (left[g][0], g))
+        out[f] = weight(*left[f])
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MAX_ENTRIES])
 
 
@@ -224,11 +235,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
         seen.clear()
         return out
 
-    least = math.ceil(math.log(CHANCE) / math.log(count[1] / (count[0] + count[1])))  # so many toxic texts, and no clean one, are no accident
+    least = 5
+    share = count[1] / (count[0] + count[1])
     floor = math.exp(LEAST_WEIGHT) * (count[1] + 1) / (count[0] + 1)
     found = sample.select("k", "t", "y").mapInArrow(count_features, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    least = max(5, min(least, count[1] // 20 + 5))
-    found = found.where(F.col("t") >= least).where(F.col("t") + 0.5 >= floor * (F.col("c") + 0.5)).orderBy(F.desc("t"), "f").limit(20 * MAX_ENTRIES)
+    # the conditions of an entry; those of a stem hold for what words leave of it, and are looked at again
+    strong = F.expr(f"t * ln(t / ((t + c) * {share!r})) + if(c > 0, c * ln(c / ((t + c) * {1 - share!r})), 0) >= {-math.log(CHANCE)!r}")
+    found = found.where(F.col("t") >= least).where(F.col("t") + 0.5 >= floor * (F.col("c") + 0.5)).where(strong).orderBy(F.desc("t"), "f").limit(20 * MAX_ENTRIES)
     learned = choose_entries([tuple(r) for r in found.collect()], count[1], count[0], least)
     model = Model({**{k: w for k, w in seeds.items() if k not in learned}, **learned})
 
