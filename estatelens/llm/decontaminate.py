@@ -251,7 +251,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     Without ``clean``, spans and clean_text are null, which saves their cost. Null text stays null in clean_text.
     """
     sc = docs.sparkSession.sparkContext
-    out, state = docs, "_hit_words"
+    out, state = docs, "__hit_words"
     asked = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t"))
     n_blocks, parts = blocks(asked, "coalesce(octet_length(t), 0) + coalesce(octet_length(i), 0) + 40", weight=8)
     held = T.ArrayType(T.LongType())

@@ -190,7 +190,7 @@ def results_of(lines: list[list[bytes]], drops: list) -> list[pa.Array]:
 
 
 def routed_drops(docs: DataFrame, index: DataFrame, n_shards: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _text_hash, _dead_lines), for an index too large to send to every task: probes go to the shards' arrays instead.
+    """(__lines_id, __lines_text_hash, __lines_dead_lines), for an index too large to send to every task: probes go to the shards' arrays instead.
 
     A shard's probes are dealt over as many salts, each with a copy of the arrays, as keep a group near ``PROBES`` rows,
     so a line that a third of all documents hold is in no single group. Rows of equal id and text share their result.
@@ -219,7 +219,7 @@ def routed_drops(docs: DataFrame, index: DataFrame, n_shards: int, min_chars: in
         return a.slice(0, 0).select(names)
 
     dead = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInArrow(answer, "id long, th long, line int")
-    return dead.distinct().groupBy(F.col("id").alias("_id"), F.col("th").alias("_text_hash")).agg(F.collect_list("line").alias("_dead_lines"))
+    return dead.distinct().groupBy(F.col("id").alias("__lines_id"), F.col("th").alias("__lines_text_hash")).agg(F.collect_list("line").alias("__lines_dead_lines"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", out_col: str = "kept_text", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -232,12 +232,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     index, n_shards = build_index(line_counts(docs, min_chars, min_docs, id_col, text_col))
     size = "length(displacements) + length(fingerprints) + length(counts) + length(last_ids)"
     n_blocks, parts = blocks(index.select("shard", "n_keys", "displacements", "fingerprints", "counts", "last_ids"), size)
-    dead = "_dead_lines"
+    dead = "__lines_dead_lines"
     results = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField(out_col, T.StringType())]
     if n_blocks > MOST_BLOCKS:
         drops = routed_drops(docs, index, n_shards, min_chars, id_col, text_col)
-        keyed = docs.withColumns({"_i": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(text_col)})
-        joined = keyed.join(drops, (F.col("_i") == F.col("_id")) & (F.col("_h") == F.col("_text_hash")), "left")
+        keyed = docs.withColumns({"__lines_i": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__lines_h": F.xxhash64(text_col)})
+        joined = keyed.join(drops, (F.col("__lines_i") == F.col("__lines_id")) & (F.col("__lines_h") == F.col("__lines_text_hash")), "left")
 
         def finish():
             def work(texts: pa.Array, gone: pa.Array) -> list[pa.Array]:
@@ -245,7 +245,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
             return work
 
-        return annotate(joined.drop("_i", "_h", "_id", "_text_hash"), [text_col, dead], finish, results, drop=(dead, *drop))
+        return annotate(joined.drop("__lines_i", "__lines_h", "__lines_id", "__lines_text_hash"), [text_col, dead], finish, results, drop=(dead, *drop))
     out = docs
     for n, block in enumerate(parts):
         sent, first, last = sc.broadcast([tuple(r) for r in block]), n == 0, n == n_blocks - 1

@@ -87,13 +87,13 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS and c not in (id_col, source_col)])
     # a null source gets a name that no other has
-    rows = docs.withColumn("_source", F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null")))
-    rows = rows.withColumn("_hash", F.xxhash64(F.col(id_col), F.col("_source"))).withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)).cast("int"))
-    sizes = cut(rows.groupBy("_source", "_bucket").agg(F.count("*").alias("n")))
-    n_sources = sizes.select("_source").distinct().count()
+    rows = docs.withColumn("__mix_source", F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null")))
+    rows = rows.withColumn("__mix_hash", F.xxhash64(F.col(id_col), F.col("__mix_source"))).withColumn("__mix_bucket", F.pmod("__mix_hash", F.lit(BUCKETS)).cast("int"))
+    sizes = cut(rows.groupBy("__mix_source", "__mix_bucket").agg(F.count("*").alias("n")))
+    n_sources = sizes.select("__mix_source").distinct().count()
     if n_sources > MOST_SOURCES:
         raise ValueError(f"{n_sources} sources; {MOST_SOURCES} at most")
-    counts = {r["_source"]: r["n"] for r in sizes.groupBy("_source").agg(F.sum("n").alias("n")).collect()}  # MOST_SOURCES rows at most
+    counts = {r["__mix_source"]: r["n"] for r in sizes.groupBy("__mix_source").agg(F.sum("n").alias("n")).collect()}  # MOST_SOURCES rows at most
     if weights is None:
         named = {k: n ** (0.5 if power is None else power) for k, n in counts.items()}
     else:
@@ -105,27 +105,27 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
         if counts[k] % block and b == -(-counts[k] // block):
             i = b - 1 - a
             short.append((start + i // n * RESOLUTION + slots[i % n], block - counts[k] % block))
-    schema = "phase int, start long, _source string, a long, b long, share int, slots array<int>"
+    schema = "phase int, start long, __mix_source string, a long, b long, share int, slots array<int>"
     steps = spark.createDataFrame(plan, schema)
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("__mix_source").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     # MOST_SOURCES * BUCKETS short rows at most
-    offsets = sizes.select("_source", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_source", "_bucket").orderBy("_hash", id_col, *[c for c in docs.columns if c not in (id_col, source_col) and dict(docs.dtypes)[c] in ("string", "bigint", "int", "double")])
-    rows = rows.withColumn("_n", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["_source", "_bucket"])
-    rows = rows.withColumn("_k", F.col("_offset") + F.col("_n")).withColumn("block_no", F.floor(F.col("_k") / block))
-    by_source = steps.groupBy("_source").agg(F.array_sort(F.collect_list(F.struct("phase", "start", "a", "b", "share", "slots"))).alias("_steps"))
-    placed = rows.join(F.broadcast(by_source), "_source")  # MOST_SOURCES sources and RESOLUTION slots a phase at most
-    placed = placed.withColumn("_s", F.expr("get(filter(_steps, s -> block_no >= s.a AND block_no < s.b), 0)")).withColumn("_i", F.expr("block_no - _s.a"))
+    offsets = sizes.select("__mix_source", "__mix_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__mix_offset"))
+    within = Window.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_hash", id_col, *[c for c in docs.columns if c not in (id_col, source_col) and dict(docs.dtypes)[c] in ("string", "bigint", "int", "double")])
+    rows = rows.withColumn("__mix_n", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["__mix_source", "__mix_bucket"])
+    rows = rows.withColumn("__mix_k", F.col("__mix_offset") + F.col("__mix_n")).withColumn("block_no", F.floor(F.col("__mix_k") / block))
+    by_source = steps.groupBy("__mix_source").agg(F.array_sort(F.collect_list(F.struct("phase", "start", "a", "b", "share", "slots"))).alias("__mix_steps"))
+    placed = rows.join(F.broadcast(by_source), "__mix_source")  # MOST_SOURCES sources and RESOLUTION slots a phase at most
+    placed = placed.withColumn("__mix_s", F.expr("get(filter(__mix_steps, s -> block_no >= s.a AND block_no < s.b), 0)")).withColumn("__mix_i", F.expr("block_no - __mix_s.a"))
     missing = " + ".join(f"CASE WHEN slot > {at} THEN {n} ELSE 0 END" for at, n in sorted(short)) or "0"
     out = placed.withColumns(
         {
-            "phase": F.expr("_s.phase"),
-            "released": F.expr(f"_i * {RESOLUTION} DIV _s.share"),
-            "due": F.expr(f"((_i + 1) * {RESOLUTION} + _s.share - 1) DIV _s.share"),
-            "slot": F.expr(f"_s.start + (_i DIV _s.share) * {RESOLUTION} + get(_s.slots, CAST(_i % _s.share AS INT))"),
+            "phase": F.expr("__mix_s.phase"),
+            "released": F.expr(f"__mix_i * {RESOLUTION} DIV __mix_s.share"),
+            "due": F.expr(f"((__mix_i + 1) * {RESOLUTION} + __mix_s.share - 1) DIV __mix_s.share"),
+            "slot": F.expr(f"__mix_s.start + (__mix_i DIV __mix_s.share) * {RESOLUTION} + get(__mix_s.slots, CAST(__mix_i % __mix_s.share AS INT))"),
         }
     )
-    out = out.withColumn("position", F.expr(f"slot * {block} + _k % {block} - ({missing})"))
+    out = out.withColumn("position", F.expr(f"slot * {block} + __mix_k % {block} - ({missing})"))
     return out.select(*docs.columns, *RESULTS)
 
 

@@ -68,28 +68,28 @@ def quality(docs: DataFrame, text_col: str = "text", clean_col: str | None = Non
     lines = f"transform(split({text}, '\\n', -1), (x, i) -> named_struct('x', x, 'i', i))"
     later = "transform(filter(sort_array(l), (e, k) -> k > 0 AND get(s, k - 1).x = e.x), e -> e.i)"
     repeats = let("l", lines, let("s", "sort_array(l)", later.replace("sort_array(l)", "s")))
-    df = df.withColumns({"_w": F.expr(words_of(text)), "_again": F.expr(f"map_from_entries(transform({repeats}, i -> named_struct('k', i, 'v', true)))")})
+    df = df.withColumns({"__quality_w": F.expr(words_of(text)), "__quality_again": F.expr(f"map_from_entries(transform({repeats}, i -> named_struct('k', i, 'v', true)))")})
     judged = (
         f"transform(split({text}, '\\n', -1), (x, i) -> "
-        + let("n", f"regexp_count(x, {q(WORD)})", let("y", "regexp_count(x, '[#*$%&|<>]')", f"named_struct('x', x, 'n', n, 'again', coalesce(_again[i], false) AND n > 0, 'bad', n > 0 AND ({line_verdict('x', 'coalesce(_again[i], false)')}))"))
+        + let("n", f"regexp_count(x, {q(WORD)})", let("y", "regexp_count(x, '[#*$%&|<>]')", f"named_struct('x', x, 'n', n, 'again', coalesce(__quality_again[i], false) AND n > 0, 'bad', n > 0 AND ({line_verdict('x', 'coalesce(__quality_again[i], false)')}))"))
         + ")"
     )
-    df = df.withColumn("_lines", F.expr(judged))
-    kept_words = "aggregate(_lines, 0L, (a, l) -> a + if(l.bad, 0, l.n))"
+    df = df.withColumn("__quality_lines", F.expr(judged))
+    kept_words = "aggregate(__quality_lines, 0L, (a, l) -> a + if(l.bad, 0, l.n))"
     df = df.withColumns(
         {
-            "n_words": F.expr("CAST(size(_w) AS BIGINT)"),
+            "n_words": F.expr("CAST(size(__quality_w) AS BIGINT)"),
             "word_chars": F.expr(f"CAST(length(regexp_replace({text}, {q('[' + WORD[2:-2] + ']+')}, '')) AS BIGINT)"),
             "n_symbols": F.expr(f"CAST(regexp_count({text}, '[#*$%&|<>]') AS BIGINT)"),
-            "n_dup_lines": F.expr("CAST(size(filter(_lines, l -> l.again)) AS BIGINT)"),
-            "n_repeat_words": F.expr(repeated_words("_w")),
+            "n_dup_lines": F.expr("CAST(size(filter(__quality_lines, l -> l.again)) AS BIGINT)"),
+            "n_repeat_words": F.expr(repeated_words("__quality_w")),
             "n_kept_words": F.expr(kept_words),
-            "n_bad_lines": F.expr("CAST(size(filter(_lines, l -> l.bad)) AS BIGINT)"),
+            "n_bad_lines": F.expr("CAST(size(filter(__quality_lines, l -> l.bad)) AS BIGINT)"),
         }
     )
     if clean_col:
-        df = df.withColumn(clean_col, F.expr("array_join(transform(filter(_lines, l -> NOT l.bad), l -> l.x), '\\n')"))
-    df = df.drop("_w", "_again", "_lines")
+        df = df.withColumn(clean_col, F.expr("array_join(transform(filter(__quality_lines, l -> NOT l.bad), l -> l.x), '\\n')"))
+    df = df.drop("__quality_w", "__quality_again", "__quality_lines")
     df = df.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words"))
     return df.withColumn("kept", F.expr(f"NOT base_failed AND n_kept_words > {LEAST_KEPT} * n_words"))
 

@@ -197,8 +197,8 @@ def classes(marked: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id",
     rooted = reps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     low = rooted.groupBy("root").agg(F.min("rep").alias(out_col))
     # fingerprints that stand for themselves need no join to learn their component
-    named = cut(rooted.join(low, "root").select(F.col("fp").alias("_fp"), out_col))
-    return marked.drop(*[c for c in marked.columns if c.lower() == out_col.lower()]).join(named, marked[fp_col] == F.col("_fp")).drop("_fp")
+    named = cut(rooted.join(low, "root").select(F.col("fp").alias("__near_fp"), out_col))
+    return marked.drop(*[c for c in marked.columns if c.lower() == out_col.lower()]).join(named, marked[fp_col] == F.col("__near_fp")).drop("__near_fp")
 
 
 def near_dedup(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,8 +208,8 @@ def near_dedup(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id"
     on fingerprints; whole rows are shuffled once, by id, against the ids that go.
     """
     marked = cut(fingerprints(docs.select(id_col, text_col), text_col, "fp", drop=(text_col,)))
-    gone = classes(marked, max_bits, id_col).where(f"{id_col} <> component_id").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(cut(gone).hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = classes(marked, max_bits, id_col).where(f"{id_col} <> component_id").select(F.col(id_col).alias("__near_gone")).distinct()
+    return docs.join(cut(gone).hint("shuffle_hash"), F.col(id_col) == F.col("__near_gone"), "left_anti")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

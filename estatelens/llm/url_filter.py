@@ -201,17 +201,17 @@ def filter_urls(pages: DataFrame, rules=RULES, trees: Trees | None = None, url_c
     """``pages`` with host, path, rule (null if none fits), block_margin (over 0: the trees would block) and verdict."""
     trees = trees or default_trees()
     results = ("host", "path", "rule", "block_margin", "verdict")
-    df = pages.drop(*[c for c in pages.columns if c.lower() in results and c != url_col]).withColumn("_u", F.expr(f"coalesce(`{url_col}`, '')"))
-    pieces = {"host": f"translate(regexp_extract(_u, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')", "path": "regexp_extract(_u, '(?s)^.*?://[^/?#]*([^?#]*)', 1)", "_rest": "regexp_extract(_u, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1)"}
+    df = pages.drop(*[c for c in pages.columns if c.lower() in results and c != url_col]).withColumn("__url_u", F.expr(f"coalesce(`{url_col}`, '')"))
+    pieces = {"host": f"translate(regexp_extract(__url_u, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')", "path": "regexp_extract(__url_u, '(?s)^.*?://[^/?#]*([^?#]*)', 1)", "__url_rest": "regexp_extract(__url_u, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1)"}
     df = df.withColumns({k: F.expr(v) for k, v in pieces.items()})
-    named = {k: v.replace("(u)", "(_u)").replace("(u,", "(_u,").replace("(rest", "(_rest") for k, v in feature_sql(trees.rates, trees.prior).items()}
-    df = df.withColumn("_f", F.expr("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in named.items()) + ")"))
+    named = {k: v.replace("(u)", "(__url_u)").replace("(u,", "(__url_u,").replace("(rest", "(__url_rest") for k, v in feature_sql(trees.rates, trees.prior).items()}
+    df = df.withColumn("__url_f", F.expr("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in named.items()) + ")"))
     margin = trees.sql()
     for k in FEATURES:
-        margin = margin.replace(f"{k} <=", f"_f.{k} <=")
+        margin = margin.replace(f"{k} <=", f"__url_f.{k} <=")
     df = df.withColumns({"rule": F.expr(rule_sql(rules, "rule")), "block_margin": F.expr(margin)})
     df = df.withColumn("verdict", F.expr(f"coalesce({rule_sql(rules, 'verdict')}, CASE WHEN block_margin > 0 THEN 'block' ELSE 'allow' END)"))
-    return df.drop("_u", "_rest", "_f")
+    return df.drop("__url_u", "__url_rest", "__url_f")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,35 @@ def test_queries_run(spark, folder, name):
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "mixing"]
+
+
+CLASHES = "_source _hash _n _k _s _i _w _lines _again _u _f _rest _dead_lines _gone _fp _hit_words_a Slot POSITION Score N_Words spans component_id lang_pred pii licenses".split()
+
+
+def test_columns_that_clash(spark, docs):
+    """Any extra column is kept as it is, unless a result has its name."""
+    from pyspark.sql import functions as F
+
+    from estatelens.llm import decontaminate, language_id, license_scan, line_dedup, mixing, pii, quality, simhash, toxicity, url_filter
+
+    wide = docs.withColumns({c: F.lit(f"x{c}") for c in CLASHES}).withColumn("url", F.lit("http://a.org/"))
+    bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    made = {
+        "mix": mixing.mix(wide),
+        "quality": quality.quality(wide, clean_col="clean"),
+        "lines": line_dedup.dedup_lines(wide),
+        "near": simhash.near_dedup(wide),
+        "tox": toxicity.score_toxicity(wide, toxicity.Model({" bad ": 3.0})),
+        "pii": pii.find_pii(wide, redact_at=0.5),
+        "lic": license_scan.scan_licenses(wide),
+        "lang": language_id.identify(wide, language_id.Model({"en": "alpha beta", "de": "ein das"})),
+        "bench": decontaminate.decontaminate(wide, bench),
+        "url": url_filter.filter_urls(wide),
+    }
+    for name, out in made.items():
+        rows = out.collect()
+        lower = [c.lower() for c in out.columns]
+        assert len(set(lower)) == len(lower), name
+        kept = [c for c in CLASHES if c in out.columns and c not in ("spans", "pii", "licenses", "lang_pred")]
+        assert all(r[c] == f"x{c}" for r in rows for c in kept), name
+        assert len(kept) >= len(CLASHES) - 8, name
