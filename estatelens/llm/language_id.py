@@ -24,7 +24,8 @@ from .common import annotate, table
 
 #: Bounds of the sample: characters of a language, rows read for it, characters of a row, and languages.
 SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS, MOST_LANGUAGES = 60_000, 120, 1_000, 256
-LANE = 2048
+#: Characters of a lane, and of the texts that are parsed at a time (a longer text alone).
+LANE, PART = 1024, 1 << 21
 UNDETERMINED = "und"
 
 
@@ -79,27 +80,38 @@ class SuffixAutomaton:
         return t.ravel()
 
 
-def to_symbols(texts: list[str], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts (0: space, 1: a letter that is not in the alphabet, 2..: its letters) and each text's number of them; no two spaces in a row, none at either end."""
-    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(t) for t in texts])
-    # what the alphabet lacks is a letter or none, decided once for each distinct character
-    at = np.minimum(np.searchsorted(alphabet, flat), max(0, len(alphabet) - 1))
-    known = alphabet[at] == flat if len(alphabet) else np.zeros(len(flat), bool)
-    out = np.where(known, at + 2, 0)
-    other = ~known
-    if other.any():
-        chars, which = np.unique(flat[other], return_inverse=True)
-        out[other] = np.array([chr(c).isalpha() for c in chars.tolist()], np.int64)[which]
-    doc = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, ends]))
-    space = out == 0
-    keep = ~space
-    if len(out) > 1:
-        keep[1:] |= space[1:] & ~space[:-1] & (doc[1:] == doc[:-1])  # the first of a run, not at the text's start
-    out, doc = out[keep], doc[keep]
-    last = (out == 0) & np.r_[doc[1:] != doc[:-1], True] if len(out) else np.zeros(0, bool)
-    out, doc = out[~last], doc[~last]
-    return out, np.bincount(doc, minlength=len(texts))
+class Alphabet:
+    """Symbols of characters: 0 for a space or anything that is no letter, 1 for a letter that the samples lack, 2 and up for theirs."""
+
+    def __init__(self, letters: set[str]):
+        self.size = len(letters) + 2
+        self.plane = np.fromiter((chr(c).isalpha() for c in range(1 << 16)), np.uint16, 1 << 16)
+        self.far: dict[int, int] = {}
+        for k, c in enumerate(sorted(letters), 2):
+            if ord(c) < 1 << 16:
+                self.plane[ord(c)] = k
+            else:
+                self.far[ord(c)] = k
+
+    def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' symbols, one after the other, and their numbers: no two spaces in a row, none at an end."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = self.plane[flat & 0xFFFF]
+        for i in np.flatnonzero(flat >> 16).tolist():
+            c = int(flat[i])
+            out[i] = self.far.get(c, int(chr(c).isalpha()))
+        first = np.zeros(len(out), bool)
+        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        keep = out > 0
+        if len(out):
+            keep[1:] |= (out[1:] == 0) & (out[:-1] > 0) & ~first[1:]  # the first space of a run inside a text
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[keep]
+        out = out[keep]
+        if len(out):
+            end = np.r_[doc[1:] != doc[:-1], True] & (out == 0)
+            out, doc = out[~end], doc[~end]
+        return out.astype(np.int32), np.bincount(doc, minlength=len(texts))
 
 
 class Model:
@@ -118,18 +130,29 @@ class Model:
     def build(self) -> None:
         self.languages = sorted(self.samples)
         lowered = {k: t.lower() for k, t in self.samples.items()}
-        self.alphabet = np.array(sorted({ord(c) for t in lowered.values() for c in t if c.isalpha()}), np.uint32)
-        self.size = len(self.alphabet) + 2
-        self.tables = [SuffixAutomaton(to_symbols([lowered[k]], self.alphabet)[0].tolist()).parse_table(self.size) for k in self.languages]
+        self.alphabet = Alphabet({c for t in lowered.values() for c in t if c.isalpha()})
+        self.tables = [SuffixAutomaton(self.alphabet.symbols([lowered[k]])[0].tolist()).parse_table(self.alphabet.size) for k in self.languages]
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases [language, text] and symbols [text]."""
+        """Phrases [language, text] and symbols [text], of at most about ``PART`` characters at a time."""
         if self.tables is None:
             self.build()
-        symbols, sizes = to_symbols([(t or "").lower() for t in texts], self.alphabet)
+        parts, size = [[]], 0
+        for t in texts:
+            t = (t or "").lower()
+            if size + len(t) > PART and parts[-1]:
+                parts.append([])
+                size = 0
+            parts[-1].append(t)
+            size += len(t)
+        done = [self.parse(p) for p in parts]
+        return np.concatenate([c for c, _ in done], 1), np.concatenate([s for _, s in done])
+
+    def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        symbols, sizes = self.alphabet.symbols(texts)
         n_lanes = -(-sizes // LANE)
         owner = np.repeat(np.arange(len(texts)), n_lanes)
-        first = np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else sizes
+        first = np.cumsum(sizes) - sizes
         k = np.arange(len(owner)) - np.repeat(np.cumsum(n_lanes) - n_lanes, n_lanes)
         starts = first[owner] + k * LANE
         lengths = np.minimum(LANE, sizes[owner] - k * LANE)
@@ -137,11 +160,12 @@ class Model:
         owner, starts, lengths = owner[order], starts[order], lengths[order]
         active = np.searchsorted(-lengths, -np.arange(int(lengths.max()) if len(lengths) else 0), "left")  # lanes longer than step
         counts = np.zeros((len(self.tables), len(owner)), np.int32)
-        states = np.zeros((len(self.tables), len(owner)), np.int64)
+        states = np.zeros((len(self.tables), len(owner)), np.int32)
+        wide = np.int32(self.alphabet.size)
         for step, n in enumerate(active.tolist()):
             c = symbols[starts[:n] + step]
             for table_, state, count in zip(self.tables, states, counts):
-                to = table_[state[:n] * self.size + c]
+                to = table_[state[:n] * wide + c]
                 count[:n] += to & 1
                 state[:n] = to >> 1
         out = np.zeros((len(self.tables), len(texts)), np.int64)
