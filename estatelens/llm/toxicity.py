@@ -36,6 +36,8 @@ MAX_TOXIC, MAX_CLEAN = 3000, 6000
 MAX_ENTRIES, LEAST_WEIGHT, CHANCE = 5000, 1.5, 1e-7
 STEM_LENGTHS = range(3, 9)
 NEAR_BITS = 5
+#: Features that a task counts before it hands them on, which bounds its memory.
+FLUSH = 100_000
 
 # Seed words, phrases in which they are harmless, and characters that stand for a letter.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting", "trash")
@@ -226,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
                 if shared.value.get(k) is False:
                     for f in features(fold(t)):
                         seen.setdefault(f, [0, 0])[y] += 1
-            if len(seen) > 400_000:
+            if len(seen) > FLUSH:
                 yield flush(seen)
         yield flush(seen)
 
