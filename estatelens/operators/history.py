@@ -20,10 +20,12 @@ def top(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
 def cochange_pairs(index: DataFrame, least: int = DEFAULTS.dive_min_cochange, most_files: int = DEFAULTS.cochange_max_files, *, item: str = "path", group: str = "ticket") -> DataFrame:
     """(a, b, n), a < b: files that share at least ``least`` tickets. Tickets of more than ``most_files`` files are sweeping changes and pair nothing.
 
-    The cap is the operator's own rule and bounds the pairs of a ticket; pairs are made from each ticket's sorted file list,
-    so there is one shuffle by ticket and one, with map-side combine, by pair.
+    The cap is the operator's own rule and bounds a ticket's pairs. Sizes are counted first, with map-side combine, so the files
+    of a sweeping ticket are never gathered; pairs then come from the sorted file lists of the others.
     """
-    sets = index.select(group, item).distinct().groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("xs")).where(F.size("xs").between(2, most_files))
+    pairs = index.select(group, item).distinct()
+    fit = pairs.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n").between(2, most_files))
+    sets = pairs.join(fit.select(group), group, "left_semi").groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("xs"))
     pairs = F.flatten(F.transform("xs", lambda x, i: F.transform(F.slice(F.col("xs"), i + 2, F.greatest(F.size("xs") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
