@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-BLOCK, RESOLUTION, MOST_SOURCES, BUCKETS = 16, 2000, 1000, 1024
+BLOCK, RESOLUTION, MOST_SOURCES = 16, 2000, 1000
+#: Hexadecimal digits of a bucket: 4,096 buckets a source.
+BUCKET_DIGITS = 3
 RESULTS = ("block_no", "phase", "released", "due", "slot", "position")
 
 
@@ -88,7 +90,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS and c not in (id_col, source_col)])
     # a null source gets a name that no other has
     rows = docs.withColumn("__mix_source", F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null")))
-    rows = rows.withColumn("__mix_hash", F.xxhash64(F.col(id_col), F.col("__mix_source"))).withColumn("__mix_bucket", F.pmod("__mix_hash", F.lit(BUCKETS)).cast("int"))
+    # the order in a source is that of the ids' digests, whose first digits name the bucket: buckets in order hold the rows in order
+    rows = rows.withColumn("__mix_hash", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))).withColumn("__mix_bucket", F.substring("__mix_hash", 1, BUCKET_DIGITS))
     sizes = cut(rows.groupBy("__mix_source", "__mix_bucket").agg(F.count("*").alias("n")))
     n_sources = sizes.select("__mix_source").distinct().count()
     if n_sources > MOST_SOURCES:
@@ -108,7 +111,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     schema = "phase int, start long, __mix_source string, a long, b long, share int, slots array<int>"
     steps = spark.createDataFrame(plan, schema)
     before = Window.partitionBy("__mix_source").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # MOST_SOURCES * BUCKETS short rows at most
+    # MOST_SOURCES * 16 ** BUCKET_DIGITS short rows at most, and far fewer for most sources
     offsets = sizes.select("__mix_source", "__mix_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__mix_offset"))
     within = Window.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_hash", id_col, *[c for c in docs.columns if c not in (id_col, source_col) and dict(docs.dtypes)[c] in ("string", "bigint", "int", "double")])
     rows = rows.withColumn("__mix_n", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["__mix_source", "__mix_bucket"])
@@ -131,3 +134,39 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def oracle_op1() -> str:
+    """SQL of the query: the schedule slot by slot, on lists that hold a value for each source, in order of name."""
+    r, b = RESOLUTION, BLOCK
+    active = "list_filter(range(1, len(lf) + 1), lambda j: lf[j] > 0)"
+
+    def shares(lf: str) -> str:
+        own = active.replace("lf", lf)
+        whole = f"list_sum(list_transform({own}, lambda j: w[j]))"
+        exact = f"(w[j] / {whole} * ({r} - len({own})))"
+        base = f"list_transform(range(1, len({lf}) + 1), lambda j: CASE WHEN {lf}[j] > 0 THEN 1 + CAST(floor({exact}) AS BIGINT) ELSE 0 END)"
+        order = f"list_sort(list_transform({own}, lambda j: {{'d': floor({exact}) - {exact}, 'j': j}}))"
+        more = f"list_transform(({order})[1 : {r} - list_sum({base})], lambda x: x.j)"
+        return f"list_transform(range(1, len({lf}) + 1), lambda j: ({base})[j] + CAST(list_contains({more}, j) AS BIGINT))"
+
+    due = f"((done[j] + 1) * {r} + sh[j] - 1) // sh[j]"
+    pick = f"list_sort(list_transform(list_filter({active}, lambda j: done[j] * {r} // sh[j] <= slot - start), lambda j: {{'d': {due}, 'j': j}}))[1]"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS k
+  FROM (SELECT doc_id, source, coalesce('s:' || source, 'null') AS s FROM documents)
+), src AS (SELECT s, (count(*) + {b - 1}) // {b} AS b, power(count(*), 0.5) AS w FROM d GROUP BY s),
+init AS (SELECT list(s ORDER BY s) AS names, list(b ORDER BY s) AS b, list(w ORDER BY s) AS w FROM src),
+begun AS (SELECT *, b AS lf, list_transform(b, lambda x: 0) AS done FROM init WHERE len(b) > 0),
+sim AS (
+  SELECT CAST(0 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS phase, CAST(0 AS BIGINT) AS start, names, b, w, lf, CAST(done AS BIGINT[]) AS done, {shares("lf")} AS sh, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS BIGINT) AS block_no, CAST(NULL AS BIGINT) AS released, CAST(NULL AS BIGINT) AS due, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS ph FROM begun
+  UNION ALL
+  SELECT slot + 1, CASE WHEN ended THEN phase + 1 ELSE phase END, CASE WHEN ended THEN slot + 1 ELSE start END, names, b, w, lf2, CASE WHEN ended THEN list_transform(done2, lambda x: CAST(0 AS BIGINT)) ELSE done2 END,
+    CASE WHEN ended THEN {shares("lf2")} ELSE sh END, names[p.j], b[p.j] - lf[p.j], done[p.j] * {r} // sh[p.j], p.d, slot, phase
+  FROM (SELECT *, lf[p.j] = 1 AS ended, list_transform(range(1, len(lf) + 1), lambda j: lf[j] - CAST(j = p.j AS BIGINT)) AS lf2, list_transform(range(1, len(lf) + 1), lambda j: done[j] + CAST(j = p.j AS BIGINT)) AS done2
+    FROM (SELECT slot, phase, start, names, b, w, lf, done, sh, {pick} AS p FROM sim WHERE list_sum(lf) > 0))
+)
+SELECT doc_id, source, d.k // {b} AS block_no, CAST(ph AS INT) AS phase, released, sim.due, turn AS slot, row_number() OVER (ORDER BY turn, k) - 1 AS position
+FROM d JOIN sim ON d.s = sim.s AND d.k // {b} = sim.block_no
+"""

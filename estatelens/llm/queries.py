@@ -6,7 +6,7 @@ from .decontaminate import ORACLE_OP9, op9_benchmark_decontamination
 from .language_id import op8_language_id
 from .license_scan import op7_license_scan
 from .line_dedup import ORACLE_OP6, op6_line_dedup
-from .mixing import op1_mixing
+from .mixing import op1_mixing, oracle_op1
 from .pii import op5_pii, oracle_op5
 from .quality import ORACLE_OP2, op2_quality_rules
 from .simhash import op3_simhash_near_dedup
@@ -31,4 +31,4 @@ QUERIES = {
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_quality_rules": ORACLE_OP2, "op5_pii": oracle_op5(), "op6_line_dedup": ORACLE_OP6, "op9_benchmark_decontamination": ORACLE_OP9, "op10_url_filters": oracle_op10()}
+    return {"op1_mixing": oracle_op1(), "op2_quality_rules": ORACLE_OP2, "op5_pii": oracle_op5(), "op6_line_dedup": ORACLE_OP6, "op9_benchmark_decontamination": ORACLE_OP9, "op10_url_filters": oracle_op10()}

@@ -178,6 +178,19 @@ def test_mixing_is_pfair_and_whole(spark, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, "abcde"[min(i % 9, 4)] if i % 11 else None) for i in range(700)] + [(3, "d"), (3, "d"), (None, "a")]
+    spark.createDataFrame(rows, "doc_id long, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op1_mixing(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(mixing.oracle_op1()).df()[list(got.columns)]
+    text = lambda df: sorted(repr([v if isinstance(v, str) else int(v) for v in r]) for r in df.fillna({"doc_id": -1, "source": "none"}).values.tolist())
+    assert text(got) == text(want) and got.phase.max() >= 3
+
+
 def test_mixing_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(i, f"s{i % 4}") for i in range(300)], "doc_id long, source string")
     a = sorted(map(tuple, mixing.mix(df.repartition(1)).collect()))
