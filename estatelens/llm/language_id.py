@@ -1,12 +1,14 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton of each language's labelled text recognises all its substrings. A text is parsed into the longest
-phrases that the automaton knows; the language that needs the fewest phrases for each letter wins. Labelled text comes
+phrases that the automaton knows; the language that needs the fewest phrases for its letters wins. Labelled text comes
 from a bounded sample (``SAMPLE_CHARS`` characters of the rows with the smallest hashes of their text, each at most once);
-every text is parsed whole. To parse many texts at once, texts are cut into lanes of ``LANE`` characters, where a phrase
-ends as well, and all lanes take their steps together through one table of states by characters.
+every text is parsed whole, in lanes of ``LANE`` characters, where a phrase ends as well. A lane goes to the language with
+the fewest phrases, and the text to the language with the most letters in its lanes (then with the fewest phrases in all),
+so that a text in two languages is not given to a third that is mediocre at both. All lanes take their steps together
+through one table of states by characters.
 
-Letters are lower-cased; runs of all else are one space. Edge cases: `und` with score 0 for text that is null or has no
+Letters are lower-cased; runs of all else are one space, and so are tokens with digits or signs of addresses, if there are others. Edge cases: `und` with score 0 for text that is null or has no
 letter, and where nothing is learned. Rows of null lang or null text teach nothing. Ties go to the language first in
 order. Repeated rows are judged alone; an empty table gives an empty result. Result columns replace those of the same name.
 """
@@ -14,6 +16,8 @@ order. Repeated rows are judged alone; an empty table gives an empty result. Res
 from __future__ import annotations
 
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,10 +29,21 @@ from .common import annotate, table
 #: Bounds of the sample: characters of a language, rows read for it, characters of a row, and languages.
 SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS, MOST_LANGUAGES = 60_000, 120, 1_000, 256
 #: Characters of a lane, and of the texts that are parsed at a time (a longer text alone).
-LANE, PART = 1024, 1 << 21
+LANE, PART = 256, 1 << 21
 UNDETERMINED = "und"
 
 
+#: Tokens that are addresses, numbers, keys or markup rather than words of a language.
+NO_WORD = re.compile(r"\S*[0-9@/=_\\]\S*")
+
+
+def prose(text: str | None) -> str:
+    """The text in lower case without such tokens, unless they are all there is."""
+    text = (text or "").lower()
+    kept = NO_WORD.sub(" ", text)
+    return kept if any(map(str.isalpha, kept)) else text
+
+
 class SuffixAutomaton:
     """The smallest automaton of all substrings of a text, over symbols below ``size``; built online, state 0 is the start."""
 
@@ -129,26 +144,26 @@ class Model:
 
     def build(self) -> None:
         self.languages = sorted(self.samples)
-        lowered = {k: t.lower() for k, t in self.samples.items()}
+        lowered = {k: prose(t) for k, t in self.samples.items()}
         self.alphabet = Alphabet({c for t in lowered.values() for c in t if c.isalpha()})
         self.tables = [SuffixAutomaton(self.alphabet.symbols([lowered[k]])[0].tolist()).parse_table(self.alphabet.size) for k in self.languages]
 
-    def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases [language, text] and symbols [text], of at most about ``PART`` characters at a time."""
+    def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """Phrases [language, text], symbols [text], and symbols won and strength of the win [language, text]; at most about ``PART`` characters at a time."""
         if self.tables is None:
             self.build()
         parts, size = [[]], 0
         for t in texts:
-            t = (t or "").lower()
+            t = prose(t)
             if size + len(t) > PART and parts[-1]:
                 parts.append([])
                 size = 0
             parts[-1].append(t)
             size += len(t)
         done = [self.parse(p) for p in parts]
-        return np.concatenate([c for c, _ in done], 1), np.concatenate([s for _, s in done])
+        return tuple(np.concatenate([x[k] for x in done], -1) for k in range(4))
 
-    def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def parse(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         symbols, sizes = self.alphabet.symbols(texts)
         n_lanes = -(-sizes // LANE)
         owner = np.repeat(np.arange(len(texts)), n_lanes)
@@ -171,7 +186,16 @@ class Model:
         out = np.zeros((len(self.tables), len(texts)), np.int64)
         for row, count in zip(out, counts):
             np.add.at(row, owner, count)
-        return out, sizes
+        won, strength = np.zeros_like(out), np.zeros(out.shape)
+        if len(self.tables) and len(owner):
+            # the fewest phrases in the lane; of equals, the fewest in the whole text, then the first in order
+            best = np.lexsort((np.broadcast_to(np.arange(len(counts))[:, None], counts.shape), out[:, owner], counts), axis=0)
+            winner = best[0]
+            own = counts[winner, np.arange(len(owner))]
+            other = counts[best[min(1, len(best) - 1)], np.arange(len(owner))] if len(best) > 1 else 2 * own
+            np.add.at(won, (winner, owner), lengths)
+            np.add.at(strength, (winner, owner), lengths * np.sqrt(np.clip(1 - own / np.maximum(other, 1), 0, 1)))
+        return out, sizes, won, strength
 
 
 def train(docs: DataFrame, usable: Column | None = None, lang_col: str = "lang", text_col: str = "text") -> Model:
@@ -195,7 +219,7 @@ def train(docs: DataFrame, usable: Column | None = None, lang_col: str = "lang",
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with lang_pred and score, the winner's lead over the next language on a scale of 0 to 1."""
+    """``docs`` with lang_pred and score, its share of the letters weighted by its lead over the next language."""
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def make():
@@ -203,15 +227,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", drop: tuple[
 
         def work(col: pa.Array) -> list[pa.Array]:
             texts = col.to_pylist()
-            counts, sizes = model.phrases(texts)
             if not model.languages:
                 return [pa.array([UNDETERMINED] * len(texts)), pa.array([0.0] * len(texts))]
-            best = counts.argmin(0) if len(texts) else []
-            ranked = np.sort(counts, 0)
-            second = ranked[1] if len(ranked) > 1 else 2 * ranked[0]
-            lead = np.clip(1 - np.maximum(ranked[0], 1) / np.maximum(second, 1), 0, 1) ** 0.5
-            known = sizes > 0
-            return [pa.array([model.languages[b] if k else UNDETERMINED for b, k in zip(best, known)], pa.string()), pa.array(np.where(known, lead, 0.0), pa.float64())]
+            counts, sizes, won, strength = model.phrases(texts)
+            best = np.lexsort((counts, -won), axis=0)[0]
+            score = strength[best, np.arange(len(texts))] / np.maximum(sizes, 1)
+            return [pa.array([model.languages[b] if n else UNDETERMINED for b, n in zip(best, sizes)], pa.string()), pa.array(np.where(sizes > 0, np.clip(score, 0, 1), 0.0), pa.float64())]
 
         return work
 

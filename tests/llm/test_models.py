@@ -78,6 +78,14 @@ def test_language_identification(spark, empty):
     assert {r["lang_pred"] for r in language_id.identify(df, nothing).collect()} == {"und"}
 
 
+def test_text_of_two_languages_is_one_of_them(spark):
+    rows = language_corpus()
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    join = lambda lang, n: " ".join(t for _, t, x in rows if x == lang)[:n]
+    df = spark.createDataFrame([(0, join("aa", 1500) + " " + join("cc", 900)), (1, join("bb", 600) + " " + join("aa", 2000))], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language_id.identify(df, model).orderBy("doc_id").collect()] == ["aa", "aa"]
+
+
 def brute_phrases(text, sample):
     """Longest-match phrases by plain substring search."""
     n = i = 0
@@ -94,7 +102,7 @@ def test_cross_parsing_counts_phrases(monkeypatch):
     rows = language_corpus(60)
     model = language_id.Model({k: " ".join(t for _, t, lang in rows[:30] if lang == k) for k in LANGS})
     texts = [t for _, t, _ in rows[30:]] + ["  Ta  ne,,ro Ω", "", "x"]
-    counts, sizes = model.phrases(texts)
+    counts, sizes, *_ = model.phrases(texts)
     for i, t in enumerate(texts):
         clean = " ".join(re.findall(r"[^\W\d_]+", t.lower()))
         assert sizes[i] == len(clean)
