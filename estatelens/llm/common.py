@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,10 +41,26 @@ def shared_folder(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+#: Folders that this process has written to the shared folder.
+written: list[str] = []
+
+
+def remove_written() -> None:
+    """Deletes what ``cut`` wrote, by the store's own file system; called when the driver ends, while its session still lives."""
+    spark = SparkSession.getActiveSession()
+    with contextlib.suppress(Py4JError, OSError):  # the session may be gone with its store
+        while spark is not None and written:
+            path = spark._jvm.org.apache.hadoop.fs.Path(written.pop())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: later plans start there, and a lost executor costs a reread only."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    if not written:
+        atexit.register(remove_written)
+    written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
