@@ -64,7 +64,11 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(text: list[tuple[int, str]], template: list[str]) -> list[tuple[int, int]]:
+#: After so many cuts at widest distances within each other, cuts are in the middle, so that any text takes few more.
+WIDE_CUTS = 16
+
+
+def align(text: list[tuple[int, str]], template: list[str], cuts: int = 0) -> list[tuple[int, int]]:
     """(place in the text, place in the template) of the aligned words; ``text`` is (place, word) ascending."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(text), 0, len(template))]
@@ -81,34 +85,19 @@ def align(text: list[tuple[int, str]], template: list[str]) -> list[tuple[int, i
             if w in once_t:
                 once_x[w] = None if w in once_x else i
         pairs = sorted((i, once_t[w]) for w, i in once_x.items() if i is not None and once_t[w] is not None)
-        if not pairs:
-            if once_x and any(v is None for v in once_x.values()) and b - a > 1:
-                cut = max(range(a + 1, b), key=lambda i: (text[i][0] - text[i - 1][0], -abs(2 * i - a - b)))
-                left, right = align_part(text[a:cut], template[c:d]), align_part(text[cut:b], template[c:d])
-                best = left if len(left) >= len(right) else right
-                out += [(x, y + c) for x, y in best]
-            continue
-        kept = rising(pairs)
-        out += [(text[i][0], j) for i, j in kept]
-        edges = [(a - 1, c - 1), *kept, (b, d)]
-        todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:])]
+        if pairs:
+            kept = rising(pairs)
+            out += [(text[i][0], j) for i, j in kept]
+            edges = [(a - 1, c - 1), *kept, (b, d)]
+            todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:])]
+        elif once_x and b - a > 1:
+            middle = (a + b) // 2
+            cut = middle if cuts >= WIDE_CUTS else max(range(a + 1, b), key=lambda i: (text[i][0] - text[i - 1][0], -abs(i - middle)))
+            parts = [align(x, template[c:d], cuts + 1) for x in (text[a:cut], text[cut:b])]
+            out += [(x, y + c) for x, y in max(parts, key=len)]
     return sorted(out)
 
 
-#: Parts of fewer words are aligned whole; deeper cuts than this only arise in text that repeats one word throughout.
-DEPTH = 64
-
-
-def align_part(text: list[tuple[int, str]], template: list[str], depth: list[int] = [0]) -> list[tuple[int, int]]:  # noqa: B006
-    if depth[0] >= DEPTH:
-        return []
-    depth[0] += 1
-    try:
-        return align(text, template)
-    finally:
-        depth[0] -= 1
-
-
 def best_window(matched: list[tuple[int, int]], width: int) -> tuple[int, int]:
     """The range of ``matched`` with the most words whose places in the text lie within ``width``; the first of equals."""
     best, a = (0, 0), 0

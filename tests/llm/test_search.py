@@ -111,6 +111,15 @@ def test_license_scan_finds_notices(spark, docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_notice_among_many_copies(spark):
+    """Copies at ever wider distances, and a text that is little else than one word of the template."""
+    notice = "Licensed under the Apache License, Version 2.0."
+    spread = " ".join(notice + " x" * (40 * k) for k in range(1, 90))
+    rows = [(0, spread, "Apache-2.0"), (1, "license " * 5000 + notice + " license" * 5000, "Apache-2.0"), (2, "the license " * 20_000, None)]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert [got[i][0]["license"] if got[i] else None for i in range(3)] == [w for _, _, w in rows]
+
+
 def brute_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
