@@ -38,10 +38,15 @@ def degree(links: DataFrame) -> DataFrame:
     return endpoints(links).groupBy("id").agg(F.count("*").alias("degree"))
 
 
+def both_ways(links: DataFrame) -> DataFrame:
+    """(node, other) pairs in both directions, one for each link: enough for a traversal, which drops duplicates as it goes."""
+    both = F.explode(F.array(F.struct(F.col("source").alias("node"), F.col("target").alias("other")), F.struct(F.col("target").alias("node"), F.col("source").alias("other"))))
+    return links.select(both.alias("e")).select("e.*")
+
+
 def symmetric(links: DataFrame) -> DataFrame:
     """Distinct (node, other) pairs in both directions."""
-    both = F.explode(F.array(F.struct(F.col("source").alias("node"), F.col("target").alias("other")), F.struct(F.col("target").alias("node"), F.col("source").alias("other"))))
-    return links.select(both.alias("e")).select("e.*").distinct()
+    return both_ways(links).distinct()
 
 
 def include_entry(node_degree: Column, settings: Settings = DEFAULTS) -> Column:

@@ -164,7 +164,7 @@ def file_ticket_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = index(spark, sf_dir)
     counts = x.groupBy("path", "ticket").agg(F.count("*").alias("n"), F.min("day").alias("a"), F.max("day").alias("b"))
     span = counts.groupBy("path").agg(F.min("a").alias("first"), F.max("b").alias("last"))
-    return counts.join(span, "path").select("path", "ticket", "n", "first", "last")
+    return counts.join(span, "path").select("path", "ticket", "n", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"))
 
 
 @query(
@@ -175,8 +175,8 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey
 def ticket_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: a ticket's commits, repositories and days."""
     nation = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.substring(F.col("l_shipdate").cast("string"), 1, 10).alias("day")).join(nation, F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.groupBy(F.col("l_orderkey").alias("ticket")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("repos"), F.min("day").alias("first"), F.max("day").alias("last"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.to_date("l_shipdate").alias("day")).join(nation, F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.groupBy(F.col("l_orderkey").alias("ticket")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("repos"), F.min("day").cast("string").alias("first"), F.max("day").cast("string").alias("last"))
 
 
 @query(
@@ -325,14 +325,14 @@ reach AS (SELECT 'p7' AS node, 0 AS dist UNION ALL SELECT node, 1 FROM h1 UNION
 @query(f"WITH {BFS_SQL} SELECT node, dist FROM reach")
 def bfs_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: nodes within two hops."""
-    edges = graph.symmetric(links(spark, sf_dir))
+    edges = graph.both_ways(links(spark, sf_dir))
     return graph.bfs(edges, spark.createDataFrame([("p7",)], "node string"), 2)
 
 
 @query(f"WITH {BFS_SQL} SELECT repo, count(*) AS reached, count(DISTINCT community) AS communities FROM reach JOIN ({NODES_SQL}) n ON reach.node = n.id GROUP BY repo")
 def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a change could reach, by repository."""
-    edges = graph.symmetric(links(spark, sf_dir))
+    edges = graph.both_ways(links(spark, sf_dir))
     return graph.impact(graph.bfs(edges, spark.createDataFrame([("p7",)], "node string"), 2, 2000), nodes(spark, sf_dir))
 
 

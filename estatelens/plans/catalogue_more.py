@@ -205,7 +205,7 @@ def ticket_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BFS_SQL}, t AS (SELECT node, dist, CAST(substr(node, 2) AS BIGINT) % 40 AS ticket FROM reach) SELECT ticket, CAST(sum(2 - dist) AS BIGINT) AS weight FROM t GROUP BY ticket")
 def weighted_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets of a reached set, by nearness."""
-    edges = graph.symmetric(links(spark, sf_dir))
+    edges = graph.both_ways(links(spark, sf_dir))
     reached = graph.bfs(edges, spark.createDataFrame([("p7",)], "node string"), 2).withColumnRenamed("node", "eid")
     own = nodes(spark, sf_dir).select(F.col("id").alias("eid"), F.array(F.substring("id", 2, 20).cast("long") % 40).alias("tickets"))
     return retrieval.weighted_tickets(reached, own)

@@ -41,8 +41,8 @@ SELECT 's' || s_suppkey, s_name, 'nation-' || s_nationkey, 'features/' || s_nati
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, ticket, day): a part, an order and the order's date."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ticket"), F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("day"))
+    """(path, ticket, day): a part, an order and the order's date, as a date, so that its least and greatest are hash-aggregated."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ticket"), F.to_date("o_orderdate").alias("day"))
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_orderkey").alias("ticket")).join(orders, "ticket")
 
 

@@ -104,7 +104,7 @@ def test_traversal(spark, estate):
     seeds = spark.createDataFrame([("a",)], "node string")
     edges = graph.symmetric(links)
     assert {tuple(r) for r in graph.bfs(edges, seeds, 2).collect()} == {("a", 0), ("b", 1), ("m", 1), ("c", 2)}
-    assert graph.bfs(edges, seeds, 3, cap=3).where("dist = 2").count() == 0
+    assert graph.bfs(edges, seeds, 3, cap=2).where("dist = 2").count() == 0
     assert {r["repo"]: r["reached"] for r in graph.impact(graph.bfs(edges, seeds, 2), nodes).collect()} == {"r1": 3, "r2": 1}
     assert [(r["label_lower"], r["independent"]) for r in graph.same_label(nodes, "MAIN").collect()] == [("main", True)]
     assert graph.connected_labels(nodes, links).count() == 0
