@@ -125,7 +125,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return e.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     def mark(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 16))).first())
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     e = cut(orient(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()))
     before = mark(e)
