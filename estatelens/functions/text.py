@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..settings import DEFAULTS, TICKET_PATTERN
 
 #: Line ends as the source data knows them: CR LF, LF, CR, VT, FF, FS, GS, RS, NEL, LS, PS.
-LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 PLACEHOLDER = "¤"
 # Shapes of commit text.
 TRAILER_PREFIXES = ("co-authored-by:", "signed-off-by:", "reviewed-by:", "change-id:", "cherry-picked:", "on-behalf-of:")

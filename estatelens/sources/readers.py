@@ -93,7 +93,7 @@ def read_filters(spark: SparkSession, path: str) -> DataFrame:
 def read_titles(spark: SparkSession, path: str, key_names: Sequence[str] = ("issue key", "key"), title_names: Sequence[str] = ("summary", "title")) -> DataFrame:
     """(pos, ticket, title) of a CSV export whose columns are found by name, in any case; the first that fits wins."""
     df = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True)
-    by_name = {c.lstrip("﻿").strip().lower(): c for c in reversed(df.columns)}
+    by_name = {c.lstrip("\ufeff").strip().lower(): c for c in reversed(df.columns)}
     picked = [next((by_name[n] for n in names if n in by_name), None) for names in (key_names, title_names)]
     if None in picked:
         raise ValueError(f"{path}: no ticket or no title column")

@@ -42,7 +42,7 @@ def test_config_lists(spark, tmp_path):
     for text in ("exclude x\n", "match **\n", "nonsense x\n", "repo a\nfetch a\n"):
         with pytest.raises(ValueError):
             readers.read_filters(spark, put(tmp_path / "f2.txt", text))
-    csv = put(tmp_path / "c.csv", "﻿Summary,Other,ISSUE KEY\nA title,x,AB-1\n,y,AB-2\nshort\n")
+    csv = put(tmp_path / "c.csv", "\ufeffSummary,Other,ISSUE KEY\nA title,x,AB-1\n,y,AB-2\nshort\n")
     assert [(r["ticket"], r["title"]) for r in readers.read_titles(spark, csv).collect()] == [("AB-1", "A title")]
 
 
