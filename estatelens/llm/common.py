@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
         own = spark.sparkContext.getCheckpointDir()
