@@ -4,10 +4,10 @@ Folding lower-cases, maps homoglyphs and digit substitutions to the letters they
 letter into spaces. Patterns are words, or word beginnings (stems), anchored at spaces. Matches inside an exception phrase
 don't count. A text's weight sum and its weight for each hundred words give the score through a logistic function.
 
-The lexicon starts from seed words and learns words and stems, with log-odds weights, from a bounded sample of the
-labelled rows (``MAX_TOXIC`` and ``MAX_CLEAN`` rows, those of the smallest hashes); near copies in the sample, found by
-their fingerprints, count once, so that a copied text doesn't make its words look toxic. One third of the sample is kept
-back to fit the logistic function. Every text is scored whole.
+The lexicon starts from seed words (without those that clean labelled texts have as well) and learns words and stems, with
+log-odds weights, from a bounded sample of the labelled rows (``MAX_TOXIC`` and ``MAX_CLEAN`` rows, those of the smallest
+hashes); near copies in the sample, found by their fingerprints, count once, so that a copied text doesn't make its words
+look toxic. One third of the sample is kept back to fit the logistic function. Every text is scored whole.
 
 Edge cases: null and empty texts score like a text without a match. Labels that are null, of null ids or of ids that no
 document has are ignored; with no label of either class the seed lexicon and the default logistic function hold. A row of
@@ -243,9 +243,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     found = sample.select("k", "t", "y").mapInArrow(count_features, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # the conditions of an entry; those of a stem hold for what words leave of it, and are looked at again
     strong = F.expr(f"t * ln(t / ((t + c) * {share!r})) + if(c > 0, c * ln(c / ((t + c) * {1 - share!r})), 0) >= {-math.log(CHANCE)!r}")
-    found = found.where(F.col("t") >= least).where(F.col("t") + 0.5 >= floor * (F.col("c") + 0.5)).where(strong).orderBy(F.desc("t"), "f").limit(20 * MAX_ENTRIES)
-    learned = choose_entries([tuple(r) for r in found.collect()], count[1], count[0], least)
-    model = Model({**{k: w for k, w in seeds.items() if k not in learned}, **learned})
+    fits = (F.col("t") >= least) & (F.col("t") + 0.5 >= floor * (F.col("c") + 0.5)) & strong
+    found = found.where(fits | F.col("f").isin(*seeds)).orderBy(F.desc("t"), "f").limit(20 * MAX_ENTRIES)
+    counts = [tuple(r) for r in found.collect()]
+    learned = choose_entries(counts, count[1], count[0], least)
+    # a seed word stays where the sample says little of it, and goes where clean texts have it as well
+    common = {f for f, t, c in counts if f in seeds and c >= least and t + 0.5 < floor * (c + 0.5)}
+    model = Model({**{k: w for k, w in seeds.items() if k not in learned and k not in common}, **learned})
 
     def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

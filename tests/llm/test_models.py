@@ -24,6 +24,8 @@ def toxic_corpus(spark, n=900):
                 if rng.random() < 0.3:
                     w = w.replace("o", "0").replace("u", "υ")
                 words[rng.randrange(len(words))] = w
+        if i % 3 == 0:
+            words[0] = "trash"  # a seed word that says nothing in this corpus
         rows.append((i, " ".join(words)))
         labels.append((i, 1, int(toxic)))
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -34,6 +36,7 @@ def test_toxicity_learns_stems_and_holds_out(spark):
     model = toxicity.train(docs, labels, toxicity.remainder("doc_id", 5) != 0)
     out = toxicity.score_toxicity(docs, model).join(labels, "doc_id").where(toxicity.remainder("doc_id", 5) == 0).toPandas()
     assert ((out.score >= 0.5).astype(int) == out.toxic).mean() >= 0.97
+    assert " trash " not in model.weights and " idiot " in model.weights
     assert out.score.between(0, 1).all()
 
 
