@@ -18,7 +18,6 @@ listed once a document). Empty tables work: no items, nothing hit. Columns that
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
