@@ -1,12 +1,11 @@
 """License scans by patience alignment of texts with license templates.
 
-Words of a template that occur once in it and once in the text are anchors; the longest increasing subsequence of their
-places is kept, and the gaps between kept anchors are aligned the same way, down to gaps without anchors. Coverage is the
-share of the template's words that are aligned within the best window of the text of ``SLACK`` times the template's length.
-
-Words of the text that the template lacks can't align, so only the others, with their places, enter. Where a gap has no
-anchor because its words repeat (a notice given twice), it is cut at its widest distance between two such words, and each
-part is aligned. Whole texts are processed.
+Words of the text that the template lacks can't align, so only the others, with their places, enter. From each of these
+words on, the window of ``SLACK`` times the template's length is aligned if it shares enough of the template's words, each as
+often as the template has it: words that occur once in both are anchors; the longest increasing subsequence of their places
+is kept, and the gaps between kept anchors are aligned the same way. Gaps without anchors, whose words repeat, are aligned by
+their longest common subsequence. Coverage is the share of the template's words that are aligned in the best window. Whole
+texts are processed.
 
 Edge cases: null and empty texts have no license. Texts with no word of a template cost nothing for it. Repeated rows are
 judged alone, an empty table gives an empty result. Ties go to the longer template, then to the first by name.
@@ -16,6 +15,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,11 +65,27 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-#: After so many cuts at widest distances within each other, cuts are in the middle, so that any text takes few more.
-WIDE_CUTS = 16
+def common_words(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence, as late in ``x`` as can be."""
+    best = [[0] * (len(y) + 1)]
+    for w in x:
+        up, row = best[-1], [0]
+        for j, v in enumerate(y):
+            row.append(up[j] + 1 if v == w else max(up[j + 1], row[j]))
+        best.append(row)
+    out, i, j = [], len(x), len(y)
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
 
 
-def align(text: list[tuple[int, str]], template: list[str], cuts: int = 0) -> list[tuple[int, int]]:
+def align(text: list[tuple[int, str]], template: list[str]) -> list[tuple[int, int]]:
     """(place in the text, place in the template) of the aligned words; ``text`` is (place, word) ascending."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(text), 0, len(template))]
@@ -90,29 +107,44 @@ def align(text: list[tuple[int, str]], template: list[str], cuts: int = 0) -> li
             out += [(text[i][0], j) for i, j in kept]
             edges = [(a - 1, c - 1), *kept, (b, d)]
             todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:])]
-        elif once_x and b - a > 1:
-            middle = (a + b) // 2
-            cut = middle if cuts >= WIDE_CUTS else max(range(a + 1, b), key=lambda i: (text[i][0] - text[i - 1][0], -abs(i - middle)))
-            parts = [align(x, template[c:d], cuts + 1) for x in (text[a:cut], text[cut:b])]
-            out += [(x, y + c) for x, y in max(parts, key=len)]
+        elif once_x:
+            out += [(text[a + i][0], c + j) for i, j in common_words([w for _, w in text[a:b]], template[c:d])]
     return sorted(out)
 
 
-def best_window(matched: list[tuple[int, int]], width: int) -> tuple[int, int]:
-    """The range of ``matched`` with the most words whose places in the text lie within ``width``; the first of equals."""
-    best, a = (0, 0), 0
-    for b in range(len(matched)):
-        while matched[b][0] - matched[a][0] >= width:
-            a += 1
-        if b + 1 - a > best[1] - best[0]:
-            best = (a, b + 1)
+def windows(text: list[tuple[int, str]], wanted: Counter, least: float, width: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, shared) of the stretches of ``text`` from each of its words, less than ``width`` places long, that share at least so many words with the template, each as often as it has it."""
+    have: Counter = Counter()
+    shared = b = 0
+    for a, (place, word) in enumerate(text):
+        while b < len(text) and text[b][0] - place < width:
+            have[text[b][1]] += 1
+            shared += have[text[b][1]] <= wanted[text[b][1]]
+            b += 1
+        if shared >= least:
+            yield a, b, shared
+        shared -= have[word] <= wanted[word]
+        have[word] -= 1
+
+
+def best_match(text: list[tuple[int, str]], template: list[str], wanted: Counter, least: float) -> list[tuple[int, int]]:
+    """The longest alignment within a window of ``SLACK`` times the template; of equals the one of the shortest span, then the first."""
+    best: list[tuple[int, int]] = []
+    for a, b, shared in windows(text, wanted, least, int(SLACK * len(template)) + 1):
+        if shared < len(best):
+            continue
+        own = align(text[a:b], template)
+        if own and (not best or (-len(own), own[-1][0] - own[0][0]) < (-len(best), best[-1][0] - best[0][0])):
+            best = own
+            if len(best) == len(template) == best[-1][0] - best[0][0] + 1:
+                break
     return best
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COVERAGE):
         self.templates = [(k, words_at(v)[0]) for k, v in sorted(templates.items(), key=lambda x: (-len(words_at(x[1])[0]), x[0]))]
-        self.templates = [(k, w, frozenset(w)) for k, w in self.templates if w]
+        self.templates = [(k, w, Counter(w)) for k, w in self.templates if w]
         self.known = frozenset(x for _, w, _ in self.templates for x in w)
         self.least = least
 
@@ -124,14 +156,14 @@ class Scanner:
         own = [(i, w) for i, w in enumerate(words) if w in self.known]
         have = {w for _, w in own}
         out = []
-        for name, template, vocabulary in self.templates:
-            if len(vocabulary & have) < self.least * len(vocabulary):
+        for name, template, wanted in self.templates:
+            least = self.least * len(template) - 1e-9
+            if sum(n for w, n in wanted.items() if w in have) < least:
                 continue
-            matched = align([x for x in own if x[1] in vocabulary], template)
-            a, b = best_window(matched, int(SLACK * len(template)) + 1)
-            coverage = (b - a) / len(template)
-            if coverage >= self.least:
-                out.append((name, round(coverage, 4), spans[matched[a][0]][0], spans[matched[b - 1][0]][1]))
+            matched = best_match([x for x in own if x[1] in wanted], template, wanted, least)
+            coverage = len(matched) / len(template)
+            if matched and coverage >= self.least:
+                out.append((name, round(coverage, 4), spans[matched[0][0]][0], spans[matched[-1][0]][1]))
         return sorted(out, key=lambda x: -x[1])
 
 

@@ -120,6 +120,17 @@ def test_notice_among_many_copies(spark):
     assert [got[i][0]["license"] if got[i] else None for i in range(3)] == [w for _, _, w in rows]
 
 
+@pytest.mark.parametrize("before", ["all", "this", "this all the", "license this under all the"])
+def test_notice_after_its_own_words(before):
+    """A word of the notice that also occurs earlier must not be bound to the far copy, once or often."""
+    scan = license_scan.Scanner().scan
+    for name, notice in license_scan.TEMPLATES.items():
+        for times in (1, 20):
+            text = " x ".join([before] * times) + " x" * 200 + " y. " + notice + " z" * 100 + " " + before
+            found = {k: (c, text[a:b]) for k, c, a, b in scan(text)}
+            assert found[name][0] == 1.0 and found[name][1] in notice and len(found[name][1]) >= len(notice) - 2, (name, times)
+
+
 def brute_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
