@@ -2,30 +2,40 @@
 
 A source's documents, in an order by hash, form blocks of ``block`` documents. With weight w its i-th block (from 0) is
 released at slot floor(i / w) and due at slot ceil((i + 1) / w). At every slot, of the released blocks the one with the
-earliest deadline goes next; so, in every prefix, each source is less than one block from its share. Weights are fractions
-of ``RESOLUTION``, so a schedule repeats after that many slots and the slot of any block follows from one period, whatever
-the number of blocks. Every document is placed once: when a source runs out, the others go on at their weights' ratio, in a
-new phase. There are at most as many phases as sources, and they alone are worked out on the driver, from block counts.
+earliest deadline goes next; so, in every prefix, each source is less than one block from its share. Weights are the exact
+fractions that floats are; a phase that ends within ``RESOLUTION`` slots takes weights rounded to fractions of it, as the SQL
+does, if that schedule too stays less than one block from the true weights. Every document is placed once: when a source
+runs out, the others go on at their weights' ratio, in a new phase. The schedule is worked out on the driver from block
+counts, a step a block, and goes to the executors in rows of ``CHUNK`` blocks.
 
 Blocks come from counts in hash buckets within each source and numbers within a bucket, so a source with a third of all
 rows is spread over all tasks, and a document's place is the same however rows are partitioned.
 
 Edge cases: a null source is a source of its own. A source without a weight, or with one that isn't positive, goes last, in
 phases of its own at equal weights. Rows that repeat are placed each. An empty table gives an empty result. Result columns
-replace columns of the same name. More than ``MOST_SOURCES`` sources are an error, as the schedule's resolution is bounded.
+replace columns of the same name. The number of sources has no limit.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
-
+from array import array
+from collections import Counter
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import count, islice
+from math import lcm
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import BROADCAST_BYTES, cut, table
 
-BLOCK, RESOLUTION, MOST_SOURCES = 16, 2000, 1000
+BLOCK, RESOLUTION = 16, 2000
+#: Blocks in a row of the plan, and numbers a block has there.
+CHUNK, FIELDS = 64, 5
 #: Hexadecimal digits of a bucket: 4,096 buckets a source.
 BUCKET_DIGITS = 3
 RESULTS = ("block_no", "phase", "released", "due", "slot", "position")
@@ -61,24 +71,64 @@ def pfair(shares: Mapping[str, int], total: int = RESOLUTION) -> dict[str, list[
     return out
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], total: int = RESOLUTION) -> list[tuple]:
-    """Rows (phase, first slot, source, first block, end block, share, slots): a phase ends with the slot in which a source's last block goes."""
+def schedule(left: Mapping[str, int], weights: Mapping[str, int], total: int) -> Iterator[tuple[str, int, int]]:
+    """(source, released, due) slot by slot, as ``pfair``, until a source of ``left`` blocks ends; weights are whole shares of any ``total``."""
+    waiting = [(0, -(-total // n), k, 0) for k, n in weights.items()]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int, int]] = []
+    for slot in count():
+        while waiting and waiting[0][0] <= slot:
+            released, due, k, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, k, i, released))
+        due, k, i, released = heapq.heappop(ready)
+        yield k, released, due
+        if i + 1 == left[k]:
+            return
+        heapq.heappush(waiting, ((i + 1) * total // weights[k], -(-(i + 2) * total // weights[k]), k, i + 1))
+
+
+def exact(weights: Mapping[str, float]) -> tuple[dict[str, int], int]:
+    """The weights, as the fractions that floats are, as whole shares of a total."""
+    parts = {k: Fraction(w) for k, w in weights.items()}
+    common = lcm(*(x.denominator for x in parts.values()))
+    whole = {k: int(x * common) for k, x in parts.items()}
+    return whole, sum(whole.values())
+
+
+def within_one(names: list[str], weights: Mapping[str, int], total: int) -> bool:
+    """Whether in every prefix each source is less than one block from its share. Between its own slots a source only falls behind."""
+    done = dict.fromkeys(weights, 0)
+    for t, k in enumerate(names):
+        if not done[k] * total - t * weights[k] > -total or not (done[k] + 1) * total - (t + 1) * weights[k] < total:
+            return False
+        done[k] += 1
+    return all(done[k] * total - len(names) * n > -total for k, n in weights.items())
+
+
+def phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[int, int, str, int, int]]:
+    """(phase, slot, source, released, due) of every block, in order of slots: a phase ends with the slot in which a source's last block goes.
+
+    A phase keeps the shares of ``RESOLUTION`` if the schedule by them is less than one block from the true weights in every prefix.
+    """
     left = {k: n for k, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    rows, start, phase = [], 0, 0
+    start = phase = 0
     while left:
-        first = {k: weights[k] for k in left if weights.get(k, 0) > 0}
-        shares = quantised(first or dict.fromkeys(left, 1.0), total)
-        slots = pfair(shares, total)
-        end = min((left[k] - 1) // n * total + slots[k][(left[k] - 1) % n] for k, n in shares.items()) + 1
-        for k, n in shares.items():
-            went = end // total * n + sum(s < end % total for s in slots[k])
-            rows.append((phase, start, k, done[k], done[k] + went, n, slots[k]))
-            done[k] += went
-            left[k] -= went
-        left = {k: n for k, n in left.items() if n}
-        start, phase = start + end, phase + 1
-    return rows
+        first = {k: weights[k] for k in left if weights.get(k, 0) > 0} or dict.fromkeys(left, 1.0)
+        shares, total = exact(first)
+        went = None
+        if len(first) < RESOLUTION:
+            went = list(islice(schedule(left, quantised(first), RESOLUTION), RESOLUTION))
+            done = Counter(k for k, _, _ in went)
+            if not any(done[k] == left[k] for k in done) or not within_one([k for k, _, _ in went], shares, total):
+                went = None
+        slot = start
+        done = Counter()
+        for k, released, due in went or schedule(left, shares, total):
+            yield phase, slot, k, released, min(due, (1 << 63) - 1)
+            done[k] += 1
+            slot += 1
+        left = {k: n - done[k] for k, n in left.items() if n > done[k]}
+        start, phase = slot, phase + 1
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", power: float | None = None) -> DataFrame:
@@ -93,42 +143,37 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     # the order in a source is that of the ids' digests, whose first digits name the bucket: buckets in order hold the rows in order
     rows = rows.withColumn("__mix_hash", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))).withColumn("__mix_bucket", F.substring("__mix_hash", 1, BUCKET_DIGITS))
     sizes = cut(rows.groupBy("__mix_source", "__mix_bucket").agg(F.count("*").alias("n")))
-    n_sources = sizes.select("__mix_source").distinct().count()
-    if n_sources > MOST_SOURCES:
-        raise ValueError(f"{n_sources} sources; {MOST_SOURCES} at most")
-    counts = {r["__mix_source"]: r["n"] for r in sizes.groupBy("__mix_source").agg(F.sum("n").alias("n")).collect()}  # MOST_SOURCES rows at most
+    counts = {r["__mix_source"]: r["n"] for r in sizes.groupBy("__mix_source").agg(F.sum("n").alias("n")).collect()}  # a row a source
     if weights is None:
         named = {k: n ** (0.5 if power is None else power) for k, n in counts.items()}
     else:
         named = {("null" if k is None else f"s:{k}"): float(w) for k, w in weights.items()}
-    plan = phases({k: -(-n // block) for k, n in counts.items()}, named)
-    # the few blocks that end a source may be short, which moves all later positions
-    short = []
-    for phase, start, k, a, b, n, slots in plan:
-        if counts[k] % block and b == -(-counts[k] // block):
-            i = b - 1 - a
-            short.append((start + i // n * RESOLUTION + slots[i % n], block - counts[k] % block))
-    schema = "phase int, start long, __mix_source string, a long, b long, share int, slots array<int>"
-    steps = spark.createDataFrame(plan, schema)
+    # for every source, the phase, released, due, slot and first position of its blocks; blocks that end a source may be short
+    held = {k: array("q") for k in counts}
+    position = 0
+    for phase, slot, k, released, due in phases({k: -(-n // block) for k, n in counts.items()}, named):
+        at = len(held[k]) // FIELDS
+        held[k].extend((phase, released, due, slot, position))
+        position += min(block, counts[k] - at * block)
+    chunk = CHUNK * FIELDS
+    rows_of = [(k, i // chunk, v[i : i + chunk]) for k, v in held.items() for i in range(0, len(v), chunk)]
+    plan = pa.table({"__mix_source": pa.array([x[0] for x in rows_of], pa.string()), "__mix_chunk": pa.array([x[1] for x in rows_of], pa.int64()), "__mix_plan": pa.array([np.frombuffer(x[2], np.int64) for x in rows_of], pa.list_(pa.int64()))})
+    steps = spark.createDataFrame(plan)
+    if position // block * FIELDS * 8 <= BROADCAST_BYTES:
+        steps = F.broadcast(steps)
     before = Window.partitionBy("__mix_source").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # MOST_SOURCES * 16 ** BUCKET_DIGITS short rows at most, and far fewer for most sources
     offsets = sizes.select("__mix_source", "__mix_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__mix_offset"))
+    if sizes.count() * 64 <= BROADCAST_BYTES:
+        offsets = F.broadcast(offsets)
     within = Window.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_hash", id_col, *[c for c in docs.columns if c not in (id_col, source_col) and dict(docs.dtypes)[c] in ("string", "bigint", "int", "double")])
-    rows = rows.withColumn("__mix_n", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["__mix_source", "__mix_bucket"])
+    rows = rows.withColumn("__mix_n", F.row_number().over(within) - 1).join(offsets, ["__mix_source", "__mix_bucket"])
     rows = rows.withColumn("__mix_k", F.col("__mix_offset") + F.col("__mix_n")).withColumn("block_no", F.floor(F.col("__mix_k") / block))
-    by_source = steps.groupBy("__mix_source").agg(F.array_sort(F.collect_list(F.struct("phase", "start", "a", "b", "share", "slots"))).alias("__mix_steps"))
-    placed = rows.join(F.broadcast(by_source), "__mix_source")  # MOST_SOURCES sources and RESOLUTION slots a phase at most
-    placed = placed.withColumn("__mix_s", F.expr("get(filter(__mix_steps, s -> block_no >= s.a AND block_no < s.b), 0)")).withColumn("__mix_i", F.expr("block_no - __mix_s.a"))
-    missing = " + ".join(f"CASE WHEN slot > {at} THEN {n} ELSE 0 END" for at, n in sorted(short)) or "0"
-    out = placed.withColumns(
-        {
-            "phase": F.expr("__mix_s.phase"),
-            "released": F.expr(f"__mix_i * {RESOLUTION} DIV __mix_s.share"),
-            "due": F.expr(f"((__mix_i + 1) * {RESOLUTION} + __mix_s.share - 1) DIV __mix_s.share"),
-            "slot": F.expr(f"__mix_s.start + (__mix_i DIV __mix_s.share) * {RESOLUTION} + get(__mix_s.slots, CAST(__mix_i % __mix_s.share AS INT))"),
-        }
-    )
-    out = out.withColumn("position", F.expr(f"slot * {block} + __mix_k % {block} - ({missing})"))
+    placed = rows.withColumn("__mix_chunk", F.floor(F.col("block_no") / CHUNK)).join(steps, ["__mix_source", "__mix_chunk"])
+
+    def field(i: int):
+        return F.expr(f"get(__mix_plan, CAST(block_no % {CHUNK} * {FIELDS} + {i} AS INT))")
+
+    out = placed.withColumns({"phase": field(0).cast("int"), "released": field(1), "due": field(2), "slot": field(3), "position": field(4) + F.col("__mix_k") % block})
     return out.select(*docs.columns, *RESULTS)
 
 

@@ -220,3 +220,24 @@ def test_pfair_deviation_is_below_one():
         for t in range(mixing.RESOLUTION):
             done[owner[t]] += 1
             assert all(abs(done[k] - (t + 1) * n / mixing.RESOLUTION) < 1 for k, n in shares.items())
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 2}, {"a": 0.0001, "b": 0.5, "c": 0.4999}, {f"s{i}": (i + 1) ** 0.5 for i in range(30)}, {f"s{i:04}": 1 + i % 7 for i in range(2500)}])
+def test_mixing_keeps_to_the_true_weights_on_long_schedules(weights):
+    from fractions import Fraction
+
+    whole = sum(map(Fraction, weights.values()))
+    share = {k: Fraction(w) / whole for k, w in weights.items()}
+    done = Counter()
+    for t, (phase, slot, k, _, _) in enumerate(mixing.phases(dict.fromkeys(weights, 30_000), weights)):
+        if phase or t == 20_000:
+            break
+        assert slot == t and done[k] - t * share[k] > -1 and done[k] + 1 - (t + 1) * share[k] < 1
+        done[k] += 1
+    assert t == 20_000 and all(abs(done[k] - t * share[k]) < 1 for k in share)
+
+
+def test_mixing_takes_any_number_of_sources(spark):
+    df = spark.createDataFrame([(i, f"s{i % 1100}") for i in range(1500)], "doc_id long, source string")
+    out = mixing.mix(df, block=1).collect()
+    assert sorted(r["position"] for r in out) == list(range(1500))
