@@ -93,20 +93,20 @@ def phones(text: str):
 
 
 def ibans(text: str):
-    """The longest prefix of a match that the country's length and mod-97 confirm, cut at the groups' ends."""
-    for m in IBAN.finditer(text):
-        s = m[0].replace(" ", "")
-        n = IBAN_LENGTHS.get(s[:2])
-        if n is None or len(s) < n:
-            if n is None and len(s) <= 34 and mod97(s):
-                yield m.span()
-            continue
-        end, seen = m.start(), 0
-        while seen < n:
-            seen += text[end] != " "
-            end += 1
-        if mod97(s[:n]) and (end == m.end() or text[end] == " "):
-            yield m.start(), end
+    """Of each match the prefix, cut at a group's end, that mod-97 confirms: of the country's length, or else the longest.
+
+    The search goes on behind the prefix, or behind the country code where none is confirmed.
+    """
+    at = 0
+    while m := IBAN.search(text, at):
+        n = IBAN_LENGTHS.get(m[0][:2])
+        at = m.start() + 2
+        for end in (e for e in range(m.end(), m.start(), -1) if e == m.end() or text[e] == " "):
+            s = text[m.start() : end].replace(" ", "")
+            if (15 <= len(s) if n is None else len(s) == n) and mod97(s):
+                yield m.start(), end
+                at = end
+                break
 
 
 FINDERS = dict(zip(KINDS, (emails, ips, cards, phones, ibans)))

@@ -222,3 +222,17 @@ def test_pii_digest_query(spark, tmp_path):
     want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_pii(texts[0]))
     assert got[0]["n_email"] == 2 and got[0]["n_phone"] == 1 and got[0]["spans"] == want
     assert got[0]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_ibans_beside_other_capitals():
+    one, two = "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606"
+    cases = [
+        ("NO93 8601 1117 947 BIC DNBANOKK", ["NO93 8601 1117 947"]),
+        (f"{one} {two}", [one, two]),
+        (f"{two} {one} {one}", [two, one, one]),
+        ("AB12 0000 1111 2222 NO93 8601 1117 947", ["NO93 8601 1117 947"]),
+        (f"REF AB12 CDEF {one}", [one]),
+        ("DE88 3704 0044 0532 0130 00", []),
+    ]
+    for text, want in cases:
+        assert [text[a:b] for a, b in pii.ibans(text)] == want, text
