@@ -8,7 +8,7 @@ the fewest phrases, and the text to the language with the most letters in its la
 so that a text in two languages is not given to a third that is mediocre at both. All lanes take their steps together
 through one table of states by characters.
 
-Letters are lower-cased; runs of all else are one space, and so are tokens with digits or signs of addresses, if there are others. Edge cases: `und` with score 0 for text that is null or has no
+Letters are lower-cased; runs of all else are one space, and so are tokens of ASCII with digits or signs of addresses, if there are others. Edge cases: `und` with score 0 for text that is null or has no
 letter, and where nothing is learned. Rows of null lang or null text teach nothing. Ties go to the language first in
 order. Repeated rows are judged alone; an empty table gives an empty result. Result columns replace those of the same name.
 """
@@ -33,8 +33,9 @@ LANE, PART = 256, 1 << 21
 UNDETERMINED = "und"
 
 
-#: Tokens that are addresses, numbers, keys or markup rather than words of a language.
-NO_WORD = re.compile(r"\S*[0-9@/=_\\]\S*")
+#: Tokens of ASCII that are addresses, numbers, keys or markup rather than words of a language. A run with other letters may be
+#: a whole sentence of an unspaced script; only its digits and signs are no letters.
+NO_WORD = re.compile(r"(?<!\S)(?=[!-~]++(?!\S))[!-~]*[0-9@/=_\\][!-~]*+")
 
 
 def prose(text: str | None) -> str:

@@ -241,3 +241,14 @@ def test_mixing_takes_any_number_of_sources(spark):
     df = spark.createDataFrame([(i, f"s{i % 1100}") for i in range(1500)], "doc_id long, source string")
     out = mixing.mix(df, block=1).collect()
     assert sorted(r["position"] for r in out) == list(range(1500))
+
+
+def test_unspaced_scripts_keep_their_letters_beside_digits():
+    chinese = "今天是2024年5月1日，我们在北京/上海见面，天气非常好"
+    assert language_id.prose(chinese + " hello a/b key=1 https://a.org/x1").split() == [chinese, "hello"]
+    assert language_id.prose("größe/2 word x2 word").split() == ["größe/2", "word", "word"]
+    assert language_id.prose("x1 y2") == "x1 y2"
+    model = language_id.Model({"en": "hello world this is a text in english " * 5, "zh": "今天我们在北京上海见面天气非常好年月日是" * 5})
+    model.build()
+    counts, sizes, won, strength = model.phrases([chinese + " hello world"])
+    assert model.languages[int(won[:, 0].argmax())] == "zh" and sizes[0] > 25
