@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from .common import annotate, table
 
-#: Bounds of the sample: characters of a language, rows read for it, characters of a row, and languages.
-SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS, MOST_LANGUAGES = 60_000, 120, 1_000, 256
+#: Bounds of the sample: characters of a language, rows read for it (about twice as many), characters of a row's piece, and
+#: languages up to which each has a full sample; more languages share the same room.
+SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS, FULL_LANGUAGES = 60_000, 120, 1_000, 256
 #: Characters of a lane, and of the texts that are parsed at a time (a longer text alone).
 LANE, PART = 256, 1 << 21
 UNDETERMINED = "und"
@@ -203,19 +204,24 @@ def train(docs: DataFrame, usable: Column | None = None, lang_col: str = "lang",
     """The model of the rows that ``usable`` admits."""
     known = docs.where(f"{lang_col} IS NOT NULL AND {text_col} IS NOT NULL")
     known = known if usable is None else known.where(usable)
-    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, ROW_CHARS).alias("t"))
-    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row a language
     if not sizes:
         return Model({})
-    # each language's rows of the smallest hashes, about 2 * SAMPLE_ROWS different ones: one pass, whatever the number of languages
-    below = {r["lang"]: -(1 << 63) + ((1 << 64) - 1) * min(2 * SAMPLE_ROWS, r["n"]) // max(1, r["n"]) for r in sizes}
-    bound = docs.sparkSession.createDataFrame(list(below.items()), "lang string, bound long")  # MOST_LANGUAGES rows at most
-    picked = known.join(F.broadcast(bound), "lang").where("h <= bound").groupBy("lang", "h").agg(F.min("t").alias("t"))
+    # with few rows expected, a language might by chance have none
+    rows, chars = (max(30, x * FULL_LANGUAGES // max(FULL_LANGUAGES, len(sizes))) for x in (2 * SAMPLE_ROWS, SAMPLE_CHARS))
+    # each language's rows of the smallest hashes, about ``rows`` different ones: one pass, whatever the number of languages
+    below = {r["lang"]: -(1 << 63) + ((1 << 64) - 1) * min(rows, r["n"]) // max(1, r["n"]) for r in sizes}
+    bound = docs.sparkSession.createDataFrame(list(below.items()), "lang string, bound long")
+    # a piece from anywhere in the row, at a place that another hash of the text names
+    size = min(ROW_CHARS, chars)
+    piece = F.expr(f"substring(t, CAST(1 + pmod(xxhash64(h, t), greatest(1, length(t) - {size - 1})) AS INT), {size})")
+    picked = known.join(F.broadcast(bound), "lang").where("h <= bound").withColumn("t", piece).groupBy("lang", "h").agg(F.min("t").alias("t"))
     texts: dict[str, list[str]] = {}
     for r in sorted(picked.collect()):
-        if sum(map(len, texts.setdefault(r["lang"], []))) < SAMPLE_CHARS:
+        if sum(map(len, texts.setdefault(r["lang"], []))) < chars:
             texts[r["lang"]].append(r["t"])
-    samples = {lang: "\n".join(x)[:SAMPLE_CHARS] for lang, x in texts.items()}
+    samples = {lang: "\n".join(x)[:chars] for lang, x in texts.items()}
     return Model(samples)
 
 

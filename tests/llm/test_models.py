@@ -252,3 +252,12 @@ def test_unspaced_scripts_keep_their_letters_beside_digits():
     model.build()
     counts, sizes, won, strength = model.phrases([chinese + " hello world"])
     assert model.languages[int(won[:, 0].argmax())] == "zh" and sizes[0] > 25
+
+
+def test_languages_learn_from_anywhere_in_rows_and_all_of_them(spark):
+    rows = [("aa", f"{'head ' * 400}{i} {'tail ' * 400}") for i in range(40)] + [(f"l{i:03}", f"only {chr(97 + i % 26) * 3} number") for i in range(300)]
+    model = language_id.train(spark.createDataFrame(rows, "lang string, text string"))
+    model.build()
+    assert len(model.languages) == 301
+    counts, *_ = model.phrases(["tail tail tail tail tail tail"])
+    assert model.languages[int(counts[:, 0].argmin())] == "aa"
