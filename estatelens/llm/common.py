@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 import pyarrow as pa
 from py4j.protocol import Py4JError
@@ -45,21 +46,48 @@ def shared_folder(spark: SparkSession) -> str:
 written: list[str] = []
 
 
-def remove_written() -> None:
-    """Deletes what ``cut`` wrote, by the store's own file system; called when the driver ends, while its session still lives."""
+def remove_written(since: int = 0, keep: int = 0) -> None:
+    """Deletes what ``cut`` wrote from the ``since``-th folder on, but for the last ``keep``, by the store's own file system.
+
+    Called where nothing that is still to run reads those folders, and for all of them when the driver ends, while its session lives.
+    """
     spark = SparkSession.getActiveSession()
+    gone = written[since : len(written) - keep]
     with contextlib.suppress(Py4JError, OSError):  # the session may be gone with its store
-        while spark is not None and written:
-            path = spark._jvm.org.apache.hadoop.fs.Path(written.pop())
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if spark is not None:
+            for folder in gone:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                written.remove(folder)
+
+
+@cache
+def register() -> None:
+    """Once, and after the session has registered its own end, so that ``remove_written`` comes first."""
+    atexit.register(remove_written)
+
+
+def only(make: Callable[[], DataFrame], since: int | None = None) -> DataFrame:
+    """``cut`` of what ``make`` returns; whatever else ``make`` has cut (or was, from the ``since``-th folder on) is deleted, as the result no longer reads it."""
+    since = len(written) if since is None else since
+    out = cut(make())
+    remove_written(since, 1)
+    return out
+
+
+def without(df: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` without the rows whose ``keys`` are in ``gone`` (cut, of two longs a row). Whole rows are shuffled only if ``gone`` is too large to send."""
+    on = [F.col(k) == F.col(f"__gone_{k}") for k in keys]
+    gone = gone.toDF(*[f"__gone_{k}" for k in keys])
+    small = gone.count() * 64 <= BROADCAST_BYTES
+    return df.join(F.broadcast(gone) if small else gone.hint("shuffle_hash"), on, "left_anti")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: later plans start there, and a lost executor costs a reread only."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    if not written:
-        atexit.register(remove_written)
+    register()
     written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -127,6 +155,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def mark(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
+    since = len(written)
     e = cut(orient(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()))
     before = mark(e)
     while before[0]:
@@ -137,6 +166,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         e = cut(orient(small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))))
+        remove_written(since, 1)
         after = mark(e)
         if after == before:
             break

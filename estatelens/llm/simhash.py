@@ -13,8 +13,9 @@
 The sample only places the cuts: every fingerprint is indexed, and the search is exact. The fit's bound is ``SAMPLE``.
 
 Edge cases: a text that is null or has no word has fingerprint zero, linked like any other. Fewer than three words are one
-shingle. A null doc_id never is a component's id; a component of only such rows has a null one. Repeated rows get a row
-each. An empty table gives an empty result. Other columns are ignored, or pass through ``near_dedup`` as they are.
+shingle. Texts are processed whole, however long. A null doc_id never is a component's id; a component of only such rows has
+a null one. Repeated rows get a row each. An empty table gives an empty result. Other columns are ignored, or pass through
+``near_dedup`` as they are.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import annotate, byte_texts, components, cut, table
+from .common import annotate, byte_texts, components, cut, only, table, without
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
-#: Fingerprints a shard should have, the fewest and the most shards, and sampled fingerprints for each shard.
-SHARD, LEAST_SHARDS, MOST_SHARDS, SAMPLE_PER_SHARD = 8192, 64, 1 << 14, 32
+#: Fingerprints a shard should have (8 MB, some tens with guests), the fewest and the most shards, and sampled fingerprints
+#: for each shard. Guests grow with the tree's depth: rows dealt for each fingerprint are about 4 at depth 6 (up to 67 million
+#: fingerprints), 7 at depth 8 and 13 at depth 10, so shards are as large as memory allows, and the search goes on in them.
+SHARD, LEAST_SHARDS, MOST_SHARDS, SAMPLE_PER_SHARD = 1 << 20, 64, 1 << 16, 32
 #: The sample's bound, in fingerprints of 8 bytes.
 SAMPLE = MOST_SHARDS * SAMPLE_PER_SHARD
 #: Distances counted in a leaf, and at a time.
@@ -204,12 +207,17 @@ def classes(marked: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id",
 def near_dedup(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id isn't the smallest of their group.
 
-    An id names one document, so rows that repeat a kept id all stay, and so do rows of null id. Which ids go is decided
-    on fingerprints; whole rows are shuffled once, by id, against the ids that go.
+    Rows are known by id and text, so an id that stands for one group and is surplus in another keeps its row in the first;
+    rows that repeat a kept one all stay, and so do rows of null id. Which rows go is decided on fingerprints.
     """
-    marked = cut(fingerprints(docs.select(id_col, text_col), text_col, "fp", drop=(text_col,)))
-    gone = classes(marked, max_bits, id_col).where(f"{id_col} <> component_id").select(F.col(id_col).alias("__near_gone")).distinct()
-    return docs.join(cut(gone).hint("shuffle_hash"), F.col(id_col) == F.col("__near_gone"), "left_anti")
+
+    def surplus() -> DataFrame:
+        known = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text"))
+        marked = cut(fingerprints(known, "text", "fp", drop=("text",)))
+        return classes(marked, max_bits, "id").where("id <> component_id").select("id", "own").distinct()
+
+    own = docs.withColumns({"__near_id": F.col(id_col).cast("long"), "__near_own": F.xxhash64(text_col)})
+    return without(own, only(surplus), ("__near_id", "__near_own")).drop("__near_id", "__near_own")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

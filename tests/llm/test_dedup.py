@@ -143,3 +143,13 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["root"] for r in common.components(edges).collect()}
     assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500}
+
+
+def test_rows_dealt_for_each_fingerprint_stay_few():
+    """Members and guests at the depth that 10^8 fingerprints have."""
+    rng = np.random.default_rng(1)
+    depth = (10**8 // simhash.SHARD - 1).bit_length()
+    nodes = simhash.fit_tree(rng.integers(0, 1 << 64, (1 << depth) * simhash.SAMPLE_PER_SHARD, np.uint64), depth, 2)
+    fps = rng.integers(0, 1 << 64, 40_000, np.uint64)
+    dealt = sum(len(m) + len(g) for _, m, g in simhash.route(nodes, depth, fps, 2))
+    assert 1 <= dealt / len(fps) < 8
