@@ -5,13 +5,14 @@ code points found in at least ``min_docs`` documents lose all their lines except
 
 1. One Arrow pass gives each document's distinct eligible keys as 128-bit hashes. A grouped count with map-side combine
    gives each hash its document count and largest id; a line that a third of all documents hold is combined before the shuffle.
-2. Hashes that reach ``min_docs`` are dealt to shards by their bits. Each shard builds a minimal perfect hash of its own
-   (buckets by one half of the hash, a displacement for each bucket, placed largest first) and lays fingerprint, count and
-   largest id out in arrays that the hash indexes.
-3. The arrays, in blocks of a checked size, go to the executors, and the documents probe them in a narrow pass: no line is
-   joined. Only an index of more than ``MOST_BLOCKS`` blocks stays where it is, and the probes go to its shards.
-
-Edge cases: null or empty text is one empty line. A null id counts as a document and as the smallest id. Rows that repeat
+2. Hashes of lines in two documents or more (no other line can go) are dealt to shards by their bits. Each shard builds a
+   minimal perfect hash of its own (buckets by one half of the hash, a displacement for each bucket, placed largest first) and
+   lays fingerprint, count and largest id out in arrays that the hash indexes. Of keys that share that half all but one are
+   listed beside the arrays.
+3. The arrays, in blocks of a checked size, go to the executors, and the documents probe them in a narrow pass, which applies
+   ``min_docs`` to the counts: no line is joined. Only an index of more than ``MOST_BLOCKS`` blocks stays where it is, and the probes go to its shards.
+
+Edge cases: null or empty text is one empty line. Texts are split whole, however long. A null id counts as a document and as the smallest id. Rows that repeat
 a doc_id count as documents each; those with the largest id all keep their lines. An empty table gives an empty result.
 Other columns pass through, except that result columns replace columns of the same name.
 """
@@ -118,7 +119,8 @@ def mph_slot(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return (spread(h, 1 + d[bucket].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-INDEX = "shard int, n_keys int, displacements binary, fingerprints binary, counts binary, last_ids binary"
+INDEX = "shard int, n_keys int, displacements binary, fingerprints binary, counts binary, last_ids binary, others binary"
+PARTS = ("shard", "n_keys", "displacements", "fingerprints", "counts", "last_ids", "others")
 
 
 def build_index(counts: DataFrame) -> tuple[DataFrame, int]:
@@ -127,15 +129,16 @@ def build_index(counts: DataFrame) -> tuple[DataFrame, int]:
     n_shards = max(1, -(-counts.count() // SHARD_KEYS))
 
     def build(batch: pa.Table) -> pa.Table:
-        cols = [batch.column(c).to_numpy() for c in ("h1", "h2", "n_docs", "last_id")]
-        h = np.ascontiguousarray(cols[0]).view(np.uint64)
-        if len(np.unique(h)) < len(h):
-            raise ValueError("two line keys share 64 bits of hash; raise the number of bits")
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("h1", "h2", "n_docs", "last_id")])
+        rows = rows[:, np.lexsort((rows[1], rows[0]))]
+        first = np.r_[True, rows[0, 1:] != rows[0, :-1]]
+        others, rows = rows[:, ~first], rows[:, first]
+        h = np.ascontiguousarray(rows[0]).view(np.uint64)
         d = build_mph(h)
         at = np.empty(len(h), np.int64)
         at[mph_slot(h, d, len(h))] = np.arange(len(h))
-        parts = [d, cols[1][at], cols[2][at].astype(np.int64), cols[3][at]]
-        return pa.table([pa.array([int(batch.column("shard")[0].as_py())], pa.int32()), pa.array([len(h)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["shard", "n_keys", "displacements", "fingerprints", "counts", "last_ids"])
+        parts = [d, *(rows[k][at] for k in (1, 2, 3)), others]
+        return pa.table([pa.array([int(batch.column("shard")[0].as_py())], pa.int32()), pa.array([len(h)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=list(PARTS))
 
     sharded = counts.withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int"))
     return cut(sharded.groupBy("shard").applyInArrow(build, INDEX)), n_shards
@@ -144,20 +147,25 @@ def build_index(counts: DataFrame) -> tuple[DataFrame, int]:
 class LineIndex:
     """Some shards of the index, for probing many hashes at once."""
 
-    def __init__(self, rows: list[tuple], n_shards: int):
-        self.n_shards = n_shards
-        self.shards = {r[0]: (r[1], np.frombuffer(r[2], np.uint32), np.frombuffer(r[3], np.int64), np.frombuffer(r[5], np.int64)) for r in rows}
+    def __init__(self, rows: list[tuple], n_shards: int, min_docs: int):
+        self.n_shards, self.min_docs = n_shards, min_docs
+        self.shards = {r[0]: (r[1], np.frombuffer(r[2], np.uint32), *(np.frombuffer(x, np.int64) for x in r[3:6])) for r in rows}
+        self.others = {(a, b): (n, i) for r in rows for a, b, n, i in np.frombuffer(r[6], np.int64).reshape(4, -1).T.tolist()}
 
     def last_ids(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each hash, whether it is a repeated line, and the largest id that holds it."""
+        """For each hash, whether it is a line of enough documents, and the largest id that holds it."""
         found, last = np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
         shard = h1 % self.n_shards  # like pmod: the sign of the divisor
-        for s, (n, d, prints, ids) in self.shards.items():
+        for s, (n, d, prints, counts, ids) in self.shards.items():
             at = np.flatnonzero(shard == s)
             if len(at):
                 slot = mph_slot(h1[at].view(np.uint64), d, n)
-                hit = prints[slot] == h2[at]
+                hit = (prints[slot] == h2[at]) & (counts[slot] >= self.min_docs)
                 found[at[hit]], last[at[hit]] = True, ids[slot[hit]]
+        for k, key in enumerate(zip(h1.tolist(), h2.tolist())) if self.others else ():
+            n, i = self.others.get(key, (0, 0))
+            if n >= self.min_docs:
+                found[k], last[k] = True, i
         return found, last
 
 
@@ -189,7 +197,7 @@ def results_of(lines: list[list[bytes]], drops: list) -> list[pa.Array]:
     return [pa.array(list(map(len, lines)), pa.int64()), pa.array([len(x or ()) for x in drops], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
 
 
-def routed_drops(docs: DataFrame, index: DataFrame, n_shards: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+def routed_drops(docs: DataFrame, index: DataFrame, n_shards: int, min_chars: int, min_docs: int, id_col: str, text_col: str) -> DataFrame:
     """(__lines_id, __lines_text_hash, __lines_dead_lines), for an index too large to send to every task: probes go to the shards' arrays instead.
 
     A shard's probes are dealt over as many salts, each with a copy of the arrays, as keep a group near ``PROBES`` rows,
@@ -212,7 +220,7 @@ def routed_drops(docs: DataFrame, index: DataFrame, n_shards: int, min_chars: in
     def answer(a: pa.Table, b: pa.Table) -> pa.Table:
         names = ["id", "th", "line"]
         if a.num_rows and b.num_rows:
-            part = LineIndex([tuple(b.column(c)[0].as_py() for c in ("shard", "n_keys", "displacements", "fingerprints", "counts", "last_ids"))], n_shards)
+            part = LineIndex([tuple(b.column(c)[0].as_py() for c in PARTS)], n_shards, min_docs)
             found, last = part.last_ids(a.column("h1").to_numpy(), a.column("h2").to_numpy())
             dead = found & (last != a.column("id").to_numpy())
             return a.filter(pa.array(dead)).select(names)
@@ -229,13 +237,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     rule. Beyond that, the probes are sent to the index (``routed_drops``).
     """
     sc = docs.sparkSession.sparkContext
-    index, n_shards = build_index(line_counts(docs, min_chars, min_docs, id_col, text_col))
-    size = "length(displacements) + length(fingerprints) + length(counts) + length(last_ids)"
-    n_blocks, parts = blocks(index.select("shard", "n_keys", "displacements", "fingerprints", "counts", "last_ids"), size)
+    index, n_shards = build_index(line_counts(docs, min_chars, min(2, min_docs), id_col, text_col))
+    size = " + ".join(f"length({c})" for c in PARTS[2:])
+    n_blocks, parts = blocks(index.select(*PARTS), size)
     dead = "__lines_dead_lines"
     results = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField(out_col, T.StringType())]
     if n_blocks > MOST_BLOCKS:
-        drops = routed_drops(docs, index, n_shards, min_chars, id_col, text_col)
+        drops = routed_drops(docs, index, n_shards, min_chars, min_docs, id_col, text_col)
         keyed = docs.withColumns({"__lines_i": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__lines_h": F.xxhash64(text_col)})
         joined = keyed.join(drops, (F.col("__lines_i") == F.col("__lines_id")) & (F.col("__lines_h") == F.col("__lines_text_hash")), "left")
 
@@ -251,7 +259,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         sent, first, last = sc.broadcast([tuple(r) for r in block]), n == 0, n == n_blocks - 1
 
         def make(sent=sent, first=first, last=last):
-            index = LineIndex(sent.value, n_shards)
+            index = LineIndex(sent.value, n_shards, min_docs)
 
             def work(ids: pa.Array, texts: pa.Array, *before: pa.Array) -> list[pa.Array]:
                 ids = [NO_ID if i is None else i for i in ids.cast(pa.int64()).to_pylist()]
