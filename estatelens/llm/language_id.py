@@ -1,23 +1,21 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton of each language's labelled text recognises all its substrings. A text is parsed into the longest
-phrases that the automaton knows; the language that needs the fewest phrases for its letters wins. Labelled text comes
-from a bounded sample (``SAMPLE_CHARS`` characters of the rows with the smallest hashes of their text, each at most once);
-every text is parsed whole, in lanes of ``LANE`` characters, where a phrase ends as well. A lane goes to the language with
-the fewest phrases, and the text to the language with the most letters in its lanes (then with the fewest phrases in all),
-so that a text in two languages is not given to a third that is mediocre at both. All lanes take their steps together
-through one table of states by characters.
-
-Letters are lower-cased; runs of all else are one space, and so are tokens of ASCII with digits or signs of addresses, if there are others. Edge cases: `und` with score 0 for text that is null or has no
+A suffix automaton of each language's labelled text recognises all its substrings. A text is parsed, from its start to its
+end, into the longest phrases that the automaton knows; the language that needs the fewest phrases for its letters wins.
+Labelled text comes from a bounded sample (``SAMPLE_CHARS`` characters of the rows with the smallest hashes of their text).
+
+Texts are parsed whole. To take many steps at a time a text is dealt to lanes of ``LANE`` characters, which are first parsed
+as if a phrase began at each; then every lane is parsed again from the state that the lane before it ended in, up to where
+both parses meet, until no lane's end changes. So phrases go on over the lanes' edges, and counts are those of one parse.
+
+Letters are lower-cased; runs of all else are one space. Edge cases: `und` with score 0 for text that is null or has no
 letter, and where nothing is learned. Rows of null lang or null text teach nothing. Ties go to the language first in
-order. Repeated rows are judged alone; an empty table gives an empty result. Result columns replace those of the same name.
+order. Repeated rows are judged alone; an empty table gives an empty result. Very long texts are parsed whole, each alone.
+Result columns replace those of the same name.
 """
 
 from __future__ import annotations
 
-
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,18 +32,6 @@ LANE, PART = 256, 1 << 21
 UNDETERMINED = "und"
 
 
-#: Tokens of ASCII that are addresses, numbers, keys or markup rather than words of a language. A run with other letters may be
-#: a whole sentence of an unspaced script; only its digits and signs are no letters.
-NO_WORD = re.compile(r"(?<!\S)(?=[!-~]++(?!\S))[!-~]*[0-9@/=_\\][!-~]*+")
-
-
-def prose(text: str | None) -> str:
-    """The text in lower case without such tokens, unless they are all there is."""
-    text = (text or "").lower()
-    kept = NO_WORD.sub(" ", text)
-    return kept if any(map(str.isalpha, kept)) else text
-
-
 class SuffixAutomaton:
     """The smallest automaton of all substrings of a text, over symbols below ``size``; built online, state 0 is the start."""
 
@@ -80,21 +66,27 @@ class SuffixAutomaton:
         self.length.append(length)
         return len(self.next) - 1
 
-    def parse_table(self, size: int) -> np.ndarray:
-        """int32 [state * size + symbol] -> 2 * next state + 1 if a new phrase begins with the symbol.
+    def steps(self, size: int) -> tuple[np.ndarray, ...]:
+        """The transitions as arrays: for each state a symbol, what it leads to, and a row of the dense table for all others.
 
-        A symbol that can't go on ends the phrase, and is taken from the start; one unknown even there is a phrase alone.
+        An entry is 2 * next state + 1 if a new phrase begins with the symbol. A symbol that can't go on ends the phrase, and is
+        taken from the start; one unknown even there is a phrase alone. Most states go on with one symbol only, so that rows
+        are few: the start's, and those of states that branch.
         """
-        t = np.empty((len(self.next), size), np.int32)
         start = np.ones(size, np.int32)
         for c, q in self.next[0].items():
             start[c] = 2 * q + 1
-        t[:] = start
-        rows = np.fromiter((s for s, n in enumerate(self.next) for _ in n), np.int64)
-        cols = np.fromiter((c for n in self.next for c in n), np.int64)
-        t[rows, cols] = 2 * np.fromiter((q for n in self.next for q in n.values()), np.int64)
-        t[0] = start
-        return t.ravel()
+        only, to, row = np.full(len(self.next), -1, np.int32), np.zeros(len(self.next), np.int32), np.zeros(len(self.next), np.int32)
+        branching = [s for s, n in enumerate(self.next) if s and len(n) > 1]
+        dense = np.tile(start, (len(branching) + 1, 1))
+        for k, s in enumerate(branching, 1):
+            row[s] = k
+            for c, q in self.next[s].items():
+                dense[k, c] = 2 * q
+        for s, n in enumerate(self.next):
+            if s and len(n) == 1:
+                only[s], to[s] = next((c, 2 * q) for c, q in n.items())
+        return only, to, row * np.int32(size), dense.ravel()
 
 
 class Alphabet:
@@ -131,73 +123,90 @@ class Alphabet:
         return out.astype(np.int32), np.bincount(doc, minlength=len(texts))
 
 
+class Parser:
+    """One language's automaton over its own alphabet."""
+
+    def __init__(self, sample: str):
+        sample = sample.lower()
+        self.alphabet = Alphabet({c for c in sample if c.isalpha()})
+        self.only, self.to, self.row, self.dense = SuffixAutomaton(self.alphabet.symbols([sample])[0].tolist()).steps(self.alphabet.size)
+
+    def after(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.where(self.only[state] == c, self.to[state], self.dense[self.row[state] + c])
+
+    def phrases(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The phrases of each of the texts, whose symbols follow one another."""
+        n_lanes = -(-sizes // LANE)
+        owner = np.repeat(np.arange(len(sizes)), n_lanes)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(n_lanes) - n_lanes, n_lanes)
+        starts = (np.cumsum(sizes) - sizes)[owner] + k * LANE
+        lengths = np.minimum(LANE, sizes[owner] - k * LANE)
+        seen = np.zeros(len(symbols), np.int32)  # what each symbol leads to
+        counts, ends = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int32)
+        order = np.argsort(-lengths, kind="stable")
+        state = np.zeros(len(owner), np.int32)
+        for step, n in enumerate(np.searchsorted(-lengths[order], -np.arange(int(lengths.max()) if len(lengths) else 0), "left").tolist()):
+            at = starts[order[:n]] + step
+            to = self.after(state[:n], symbols[at])
+            seen[at] = to
+            state[:n] = to >> 1
+        ends[order] = state
+        if len(owner):
+            counts = np.add.reduceat(seen & 1, starts, dtype=np.int64)
+        # lanes whose lane before ended in a state other than the one they were last parsed from
+        began = np.zeros(len(owner), np.int32)
+        later = np.flatnonzero(k > 0)
+        while len(todo := later[began[later] != ends[later - 1]]):
+            began[todo] = ends[todo - 1]
+            lane, state, step = todo, began[todo], 0
+            while len(lane):
+                at = starts[lane] + step
+                to = self.after(state, symbols[at])
+                counts[lane] += (to & 1) - (seen[at] & 1)
+                going = to >> 1 != seen[at] >> 1  # else both parses are the same from here on
+                seen[at] = to
+                step += 1
+                done = going & (lengths[lane] == step)
+                ends[lane[done]] = to[done] >> 1
+                going &= ~done
+                lane, state = lane[going], to[going] >> 1
+        return np.bincount(owner, counts, len(sizes)).astype(np.int64)
+
+
+#: The parsers of the samples used last, which a Python worker keeps from task to task.
+_built: dict[int, list[Parser]] = {}
+
+
 class Model:
-    """The labelled samples; tables are built where they are used."""
+    """The labelled samples; automata are built where they are used, once in each worker."""
 
     def __init__(self, samples: dict[str, str]):
         self.samples = samples
-        self.tables = None
-
-    def __getstate__(self):
-        return self.samples
-
-    def __setstate__(self, state):
-        self.__init__(state)
+        self.languages = sorted(samples)
 
-    def build(self) -> None:
-        self.languages = sorted(self.samples)
-        lowered = {k: prose(t) for k, t in self.samples.items()}
-        self.alphabet = Alphabet({c for t in lowered.values() for c in t if c.isalpha()})
-        self.tables = [SuffixAutomaton(self.alphabet.symbols([lowered[k]])[0].tolist()).parse_table(self.alphabet.size) for k in self.languages]
+    def parsers(self) -> list[Parser]:
+        key = hash(tuple((k, self.samples[k]) for k in self.languages))
+        if key not in _built:
+            _built.clear()
+            _built[key] = [Parser(self.samples[k]) for k in self.languages]
+        return _built[key]
 
-    def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """Phrases [language, text], symbols [text], and symbols won and strength of the win [language, text]; at most about ``PART`` characters at a time."""
-        if self.tables is None:
-            self.build()
+    def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases [language, text] and letters and spaces between them [text]; at most about ``PART`` characters at a time."""
         parts, size = [[]], 0
         for t in texts:
-            t = prose(t)
+            t = (t or "").lower()
             if size + len(t) > PART and parts[-1]:
                 parts.append([])
                 size = 0
             parts[-1].append(t)
             size += len(t)
-        done = [self.parse(p) for p in parts]
-        return tuple(np.concatenate([x[k] for x in done], -1) for k in range(4))
-
-    def parse(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        symbols, sizes = self.alphabet.symbols(texts)
-        n_lanes = -(-sizes // LANE)
-        owner = np.repeat(np.arange(len(texts)), n_lanes)
-        first = np.cumsum(sizes) - sizes
-        k = np.arange(len(owner)) - np.repeat(np.cumsum(n_lanes) - n_lanes, n_lanes)
-        starts = first[owner] + k * LANE
-        lengths = np.minimum(LANE, sizes[owner] - k * LANE)
-        order = np.argsort(-lengths, kind="stable")
-        owner, starts, lengths = owner[order], starts[order], lengths[order]
-        active = np.searchsorted(-lengths, -np.arange(int(lengths.max()) if len(lengths) else 0), "left")  # lanes longer than step
-        counts = np.zeros((len(self.tables), len(owner)), np.int32)
-        states = np.zeros((len(self.tables), len(owner)), np.int32)
-        wide = np.int32(self.alphabet.size)
-        for step, n in enumerate(active.tolist()):
-            c = symbols[starts[:n] + step]
-            for table_, state, count in zip(self.tables, states, counts):
-                to = table_[state[:n] * wide + c]
-                count[:n] += to & 1
-                state[:n] = to >> 1
-        out = np.zeros((len(self.tables), len(texts)), np.int64)
-        for row, count in zip(out, counts):
-            np.add.at(row, owner, count)
-        won, strength = np.zeros_like(out), np.zeros(out.shape)
-        if len(self.tables) and len(owner):
-            # the fewest phrases in the lane; of equals, the fewest in the whole text, then the first in order
-            best = np.lexsort((np.broadcast_to(np.arange(len(counts))[:, None], counts.shape), out[:, owner], counts), axis=0)
-            winner = best[0]
-            own = counts[winner, np.arange(len(owner))]
-            other = counts[best[min(1, len(best) - 1)], np.arange(len(owner))] if len(best) > 1 else 2 * own
-            np.add.at(won, (winner, owner), lengths)
-            np.add.at(strength, (winner, owner), lengths * np.sqrt(np.clip(1 - own / np.maximum(other, 1), 0, 1)))
-        return out, sizes, won, strength
+        counts, sizes = [], []
+        for p in parts:
+            read = [(x, *x.alphabet.symbols(p)) for x in self.parsers()]
+            counts.append(np.array([x.phrases(symbols, own) for x, symbols, own in read]).reshape(len(read), len(p)))
+            sizes.append(read[0][2] if read else np.zeros(len(p), np.int64))
+        return np.concatenate(counts, 1), np.concatenate(sizes)
 
 
 def train(docs: DataFrame, usable: Column | None = None, lang_col: str = "lang", text_col: str = "text") -> Model:
@@ -226,20 +235,20 @@ def train(docs: DataFrame, usable: Column | None = None, lang_col: str = "lang",
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with lang_pred and score, its share of the letters weighted by its lead over the next language."""
+    """``docs`` with lang_pred and score, how far the fewest phrases are below the next language's (0 to 1)."""
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def make():
-        model.build()
-
         def work(col: pa.Array) -> list[pa.Array]:
             texts = col.to_pylist()
             if not model.languages:
                 return [pa.array([UNDETERMINED] * len(texts)), pa.array([0.0] * len(texts))]
-            counts, sizes, won, strength = model.phrases(texts)
-            best = np.lexsort((counts, -won), axis=0)[0]
-            score = strength[best, np.arange(len(texts))] / np.maximum(sizes, 1)
-            return [pa.array([model.languages[b] if n else UNDETERMINED for b, n in zip(best, sizes)], pa.string()), pa.array(np.where(sizes > 0, np.clip(score, 0, 1), 0.0), pa.float64())]
+            counts, sizes = model.phrases(texts)
+            best = counts.argmin(0)  # of equals the first
+            ordered = np.sort(counts, axis=0)
+            second = ordered[1] if len(ordered) > 1 else 2 * ordered[0]
+            score = np.sqrt(np.clip(1 - ordered[0] / np.maximum(second, 1), 0, 1))
+            return [pa.array([model.languages[b] if n else UNDETERMINED for b, n in zip(best, sizes)], pa.string()), pa.array(np.where(sizes > 0, score, 0.0), pa.float64())]
 
         return work
 
