@@ -12,7 +12,7 @@ occurrence of a window is hit.
 4. Occurrences become word spans and, merged, character spans to remove.
 
 Edge cases: null text has no words; an item that is null or has no word has no window; an item_id that is null takes part
-in hits but is not listed among the items. Repeated rows, of documents or items, are each judged alone (an item_id is
+in hits but is not listed among the items. Texts are searched whole, however long. Repeated rows, of documents or items, are each judged alone (an item_id is
 listed once a document). Empty tables work: no items, nothing hit. Columns that clash with the results are replaced.
 """
 
@@ -225,12 +225,13 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
     """``text`` without its word spans, and those as code point spans."""
     starts, ends = word_bounds(text)
+    before = np.r_[0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)]  # code points that begin before each byte
     at, kept, chars = 0, [], []
     for a, b in spans:
         x, y = int(starts[a]), int(ends[b - 1])
         kept.append(text[at:x])
         at = y
-        chars.append((len(text[:x].decode("utf-8", "replace")), len(text[:y].decode("utf-8", "replace"))))
+        chars.append((int(before[x]), int(before[y])))
     return b"".join([*kept, text[at:]]), chars
 
 
