@@ -7,8 +7,9 @@ label, and the block rate of the host's suffix among the labelled URLs. ``pages`
 the labelled URLs of ``labelled_urls``, which a rule makes.
 
 Edge cases: a url that is null or without `://` has an empty host and path, fits no rule with a host, and is judged on what
-features it has. Repeated rows are judged alone; an empty table gives an empty result. Other columns are kept; result
-columns replace columns of the same name.
+features it has. URLs are judged whole, however long. Repeated rows are judged alone; an empty table gives an empty result.
+Other columns are kept; result columns replace columns of the same name. Of rules for one host and path with different
+verdicts allow holds. The number of rules and of suffixes has no limit.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import BROADCAST_BYTES, table
 
-#: Rules that a CASE expression may have, and labelled rows that trees are fitted on.
-MAX_RULES, MAX_LABELLED = 1000, 20_000
+#: Entries that a CASE expression may have (more are looked up in a table, with the same results), and labelled rows that trees are fitted on.
+MOST_CASES, MAX_LABELLED = 1000, 20_000
 ROUNDS, RATE, LEAST_ROWS, BINS = 24, 0.3, 4, 32
 # Fixed values: (verdict, host, path) of the rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -35,24 +36,32 @@ def quoted(s: str) -> str:
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """URLs with label 1 (block) or 0, made by rule from a few words and syllables of unwanted and ordinary hosts; hyphens and digits are common in the former, not only there."""
-    unwanted = ("casino", "pills", "bets", "spam", "adult", "ads", "loan", "poker", "replica", "crypto")
-    lures = ("win", "cheap", "free", "farm", "x", "track", "fast", "best-deal")
-    ordinary = ("news", "garden", "library", "weather", "travel", "recipes", "museum", "school", "science", "history")
-    syllables = ("ta", "ne", "ro", "mi", "the", "ell", "an", "ou", "in", "sto")
-    words = ("daily", "river", "city", "open", "green", "north", "world", "modern")
-    heads, tails = ("", "www.", "m.", "blog."), ("", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top")
-    suffixes, langs = ("com", "net", "org"), ("en", "de", "fr", "es")
-    out = []
-    for i, (a, b) in enumerate((a, b) for a in range(10) for b in range(8)):
-        bad = (f"{unwanted[a]}-{lures[b]}", f"{lures[b]}-{unwanted[a]}", f"{unwanted[a]}{lures[b]}{100 + 37 * i % 900}", f"{lures[b]}-{unwanted[a]}-{i}")[i % 4]
-        plain = syllables[a] + syllables[b] + (syllables[(a + 3 * b) % 10] if i % 3 else "")
-        good = (plain, ordinary[a] + words[b], plain[::-1], f"{words[b]}-{ordinary[a]}" if i % 8 == 3 else ordinary[a])[i % 4]
-        for k, host in enumerate((bad, good)):
-            for j in range(3):
-                n = 7 * i + 11 * j + 3 * k
-                url = f"{'https' if n % 3 else 'http'}://{heads[n % 4]}{host}.example.{suffixes[(i + j) % 3]}/{langs[n % 4]}/{7919 * n % 10 ** (1 + (n + k) % 6)}{tails[n % 6]}"
-                out.append((url, 1 - k))
+    """URLs with label 1 (block) or 0, made by rule. Each of six signs is commoner among the former, none decides alone.
+
+    The signs: a suffix of the cheap ones, a host of several hyphened words or a long one, digits in the host, a deep path,
+    many parameters, and a long random path segment.
+    """
+    words = ("daily", "river", "city", "open", "green", "north", "world", "modern", "news", "garden", "library", "weather", "recipes", "museum", "school", "science")
+    lures = ("win", "cheap", "free", "fast", "deal", "casino", "pills", "bets", "loan", "replica", "crypto", "bonus")
+    usual, cheap = ("com", "org", "edu", "de", "fr", "net"), ("top", "xyz", "click", "loan", "win", "com")
+    seen, out = 40_503, []
+
+    def pick(n: int) -> int:
+        nonlocal seen
+        seen = (seen * 1_103_515_245 + 12_345) % (1 << 31)
+        return (seen >> 8) % n
+
+    for i in range(1200):
+        bad = i % 2
+        sign = [pick(100) < (70 if bad else 12) for _ in range(6)]
+        suffix = cheap[pick(6)] if sign[0] else usual[pick(6)]
+        name = "-".join(lures[pick(12)] for _ in range(2 + pick(3))) if sign[1] else words[pick(16)] + words[pick(16)] * pick(2)
+        name += str(pick(9000) + 10) if sign[2] else ""
+        host = f"{('', 'www.', 'm.', 'blog.')[pick(4)]}{name}.{suffix}"
+        path = "".join(f"/{words[pick(16)]}" for _ in range(3 + pick(4) if sign[3] else pick(3)))
+        path += f"/{pick(1 << 30):x}{pick(1 << 30)}" if sign[5] else f"/{pick(5000)}" * pick(2)
+        query = "&".join(f"{words[pick(16)][:3]}={pick(900)}" for _ in range(3 + pick(4) if sign[4] else pick(2)))
+        out.append((f"{'https' if pick(3) else 'http'}://{host}{path}{'?' + query if query else ''}", bad))
     return out
 
 
@@ -96,6 +105,8 @@ def feature_sql(rates: dict[str, float], prior: float, dialect: str = "spark") -
         n_labels, longest, suffix = f"len({labels})", f"coalesce(list_max(list_transform({labels}, lambda x: length(x))), 0)", "regexp_extract(host, '[^.]*$')"
     cases = " ".join(f"WHEN {quoted(k)} THEN {number(v)}" for k, v in sorted(rates.items()))
     rate = f"CASE {suffix} {cases} ELSE {number(prior)} END" if rates else number(prior)
+    if dialect == "spark" and len(rates) > MOST_CASES:
+        rate = f"coalesce(__url_rate, {number(prior)})"
     exprs = ("length(u)", "length(host)", count_sql("path", "/"), f"{digits} / greatest(1, length(u))", f"CASE WHEN host = '' THEN 0 ELSE {entropy} END", count_sql("rest", "="), count_sql("host", "-"), n_labels, longest, rate)
     return {k: f"CAST({e} AS DOUBLE)" for k, e in zip(FEATURES, exprs)}
 
@@ -151,7 +162,7 @@ def fit(labelled: list[tuple[str | None, int]]) -> Trees:
     by: dict[str, list[int]] = {}
     for u, y in labelled:
         by.setdefault(parts(u)[0].rpartition(".")[2], []).append(y)
-    rates = {k: (sum(v) + 10 * prior) / (len(v) + 10) for k, v in sorted(by.items(), key=lambda x: (-len(x[1]), x[0]))[:MAX_RULES] if k}
+    rates = {k: (sum(v) + 10 * prior) / (len(v) + 10) for k, v in sorted(by.items(), key=lambda x: (-len(x[1]), x[0])) if k}
     rows = [features_of(u, rates, prior) for u, _ in labelled]
     bias = math.log(prior / (1 - prior))
     trees: list[tuple] = []
@@ -186,17 +197,45 @@ def default_trees() -> Trees:
     return fit(labelled_urls())
 
 
+def ordered(rules) -> list[tuple[str, str, str]]:
+    """The rules, the longest first; allow before block."""
+    return sorted({tuple(r) for r in rules}, key=lambda r: (-len(r[1] + r[2]), r))
+
+
 def rule_sql(rules, result: str) -> str:
     """A CASE over host and path: the longest rule that fits, as its name or its verdict."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; {MAX_RULES} at most")
     cases = []
-    for verdict, host, path in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r)):
+    for verdict, host, path in ordered(rules):
         fits = f"(host = {quoted(host)} OR right(host, {len(host) + 1}) = {quoted('.' + host)}) AND left(path, {len(path)}) = {quoted(path)}"
         cases.append(f"WHEN {fits} THEN {quoted(host + path if result == 'rule' else verdict)}")
     return f"CASE {' '.join(cases)} END" if cases else "CAST(NULL AS STRING)"
 
 
+def looked_up(df: DataFrame, key: str, entries: list[tuple], schema: str, name: str) -> DataFrame:
+    """``df`` with the entry of ``key``, an expression, in column ``name``: a join, broadcast if the entries are small."""
+    own = df.sparkSession.createDataFrame(entries, f"__url_key string, {name} {schema}")
+    small = sum(len(repr(e)) for e in entries) * 4 <= BROADCAST_BYTES
+    return df.join(F.broadcast(own) if small else own, F.expr(key) == F.col("__url_key"), "left").drop("__url_key")
+
+
+def with_rules(df: DataFrame, rules) -> DataFrame:
+    """``df`` (with host and path) with the longest fitting rule and its verdict in ``__url_rule``, null if none fits.
+
+    For each number of labels that rules' hosts have, the url's last so many labels are looked up among those hosts.
+    """
+    by_host: dict[str, list[tuple[str, str]]] = {}
+    for verdict, host, path in ordered(rules):
+        by_host.setdefault(host, []).append((path, verdict))
+    levels = sorted({h.count(".") + 1 for h in by_host})
+    for n in levels:
+        entries = [(h, v) for h, v in by_host.items() if h.count(".") + 1 == n]
+        df = looked_up(df, f"substring_index(host, '.', -{n})", entries, "array<struct<path:string,verdict:string>>", f"__url_level{n}")
+    # hosts of more labels are suffixes that hold those of fewer, but the path counts as well: the longest of all that fit
+    fits = [f"transform(filter(coalesce(__url_level{n}, array()), r -> startswith(path, r.path)), r -> named_struct('n', -length(substring_index(host, '.', -{n})) - length(r.path), 'verdict', r.verdict, 'host', substring_index(host, '.', -{n}), 'rule', concat(substring_index(host, '.', -{n}), r.path)))" for n in levels]
+    first = f"array_min(concat({', '.join(fits)}))" if fits else "CAST(NULL AS struct<n:int,verdict:string,host:string,rule:string>)"
+    return df.withColumn("__url_rule", F.expr(first)).drop(*[f"__url_level{n}" for n in levels])
+
+
 def filter_urls(pages: DataFrame, rules=RULES, trees: Trees | None = None, url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule (null if none fits), block_margin (over 0: the trees would block) and verdict."""
     trees = trees or default_trees()
@@ -204,14 +243,19 @@ def filter_urls(pages: DataFrame, rules=RULES, trees: Trees | None = None, url_c
     df = pages.drop(*[c for c in pages.columns if c.lower() in results and c != url_col]).withColumn("__url_u", F.expr(f"coalesce(`{url_col}`, '')"))
     pieces = {"host": f"translate(regexp_extract(__url_u, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')", "path": "regexp_extract(__url_u, '(?s)^.*?://[^/?#]*([^?#]*)', 1)", "__url_rest": "regexp_extract(__url_u, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1)"}
     df = df.withColumns({k: F.expr(v) for k, v in pieces.items()})
+    if len(trees.rates) > MOST_CASES:
+        df = looked_up(df, "substring_index(host, '.', -1)", list(trees.rates.items()), "double", "__url_rate")
     named = {k: v.replace("(u)", "(__url_u)").replace("(u,", "(__url_u,").replace("(rest", "(__url_rest") for k, v in feature_sql(trees.rates, trees.prior).items()}
     df = df.withColumn("__url_f", F.expr("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in named.items()) + ")"))
     margin = trees.sql()
     for k in FEATURES:
         margin = margin.replace(f"{k} <=", f"__url_f.{k} <=")
-    df = df.withColumns({"rule": F.expr(rule_sql(rules, "rule")), "block_margin": F.expr(margin)})
-    df = df.withColumn("verdict", F.expr(f"coalesce({rule_sql(rules, 'verdict')}, CASE WHEN block_margin > 0 THEN 'block' ELSE 'allow' END)"))
-    return df.drop("__url_u", "__url_rest", "__url_f")
+    if len(rules) > MOST_CASES:
+        df = with_rules(df, rules).withColumns({"rule": F.col("__url_rule.rule"), "__url_ruled": F.col("__url_rule.verdict")})
+    else:
+        df = df.withColumns({"rule": F.expr(rule_sql(rules, "rule")), "__url_ruled": F.expr(rule_sql(rules, "verdict"))})
+    df = df.withColumn("block_margin", F.expr(margin)).withColumn("verdict", F.expr("coalesce(__url_ruled, CASE WHEN block_margin > 0 THEN 'block' ELSE 'allow' END)"))
+    return df.drop("__url_u", "__url_rest", "__url_f", "__url_rate", "__url_rule", "__url_ruled")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
