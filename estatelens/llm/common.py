@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of an Arrow batch and its bytes at most, so that a Python worker holds some tens of MB of text at a time.
-BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: No single broadcast is larger; what is larger goes in several passes.
 BROADCAST_BYTES = 32 << 20
 
@@ -120,6 +120,7 @@ def annotate(df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable[.
         for b in batches:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in at_kept), *work(*(b.column(i) for i in at_in))], names=names)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, T.StructType([*kept, *(T.StructField(f.name, f.dataType, True) for f in fields)]))
 

@@ -153,3 +153,13 @@ def test_rows_dealt_for_each_fingerprint_stay_few():
     fps = rng.integers(0, 1 << 64, 40_000, np.uint64)
     dealt = sum(len(m) + len(g) for _, m, g in simhash.route(nodes, depth, fps, 2))
     assert 1 <= dealt / len(fps) < 8
+
+
+def test_keys_that_share_half_their_bits(spark):
+    """Of two keys with the same first half both are found, each with its own count and largest id."""
+    rows = [(5, 1, 3, 70), (5, 2, 4, 80), (5, 3, 2, 90), (-9, 1, 3, 60)]
+    counts = spark.createDataFrame(rows, "h1 long, h2 long, n_docs long, last_id long")
+    index, n_shards = line_dedup.build_index(counts)
+    held = line_dedup.LineIndex([tuple(r) for r in index.select(*line_dedup.PARTS).collect()], n_shards, 3)
+    found, last = held.last_ids(np.array([5, 5, 5, -9, 5, 7]), np.array([1, 2, 3, 1, 9, 4]))
+    assert found.tolist() == [True, True, False, True, False, False] and last[found].tolist() == [70, 80, 60]

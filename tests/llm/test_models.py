@@ -24,8 +24,8 @@ def toxic_corpus(spark, n=900):
                 if rng.random() < 0.3:
                     w = w.replace("o", "0").replace("u", "υ")
                 words[rng.randrange(len(words))] = w
-        if i % 3 == 0:
-            words[0] = "trash"  # a seed word that says nothing in this corpus
+        if not toxic and i % 24 == 0:
+            words[5:7] = ["grumpfen", "eimer"]  # harmless in this phrase
         rows.append((i, " ".join(words)))
         labels.append((i, 1, int(toxic)))
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -36,12 +36,45 @@ def test_toxicity_learns_stems_and_holds_out(spark):
     model = toxicity.train(docs, labels, toxicity.remainder("doc_id", 5) != 0)
     out = toxicity.score_toxicity(docs, model).join(labels, "doc_id").where(toxicity.remainder("doc_id", 5) == 0).toPandas()
     assert ((out.score >= 0.5).astype(int) == out.toxic).mean() >= 0.97
-    assert " trash " not in model.weights and " idiot " in model.weights
+    assert "grumpfen eimer" in model.exceptions and not any("zorbix" in x for x in model.exceptions)
+    assert any(k.startswith(" grumpf") for k in model.weights) and any(k.startswith(" zorbix") for k in model.weights)
     assert out.score.between(0, 1).all()
 
 
+def naive_measure(model, text):
+    """Every entry at every place, place by place."""
+    folded = toxicity.fold(text)
+    harmless = set()
+    for x in map(toxicity.fold, model.exceptions):
+        for i in range(len(folded)):
+            if folded.startswith(x, i):
+                harmless |= set(range(i, i + len(x) - 1))  # the space at its end is the next word's
+    hits = [max((w for k, w in model.weights.items() if folded.startswith(k, i)), default=0) for i in range(len(folded))]
+    return sum(w for i, w in enumerate(hits) if i not in harmless), len(folded.split())
+
+
+def test_toxicity_matches_a_naive_scan():
+    rng = random.Random(17)
+    for _ in range(60):
+        words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(12)]
+        weights = {f" {w} " if rng.random() < 0.5 else f" {w}": float(rng.randrange(1, 9)) for w in words[:7]}
+        model = toxicity.Model(weights, tuple(f"{rng.choice(words)} {rng.choice(words)}" for _ in range(3)))
+        for _ in range(20):
+            text = "  ".join(rng.choice(words).replace("a", rng.choice("aа4A")) for _ in range(rng.randrange(40)))
+            assert model.measure(text) == naive_measure(model, text), text
+
+
+def test_toxicity_of_hostile_texts_ends_soon():
+    import time
+
+    model = toxicity.Model({" idiot ": 5.0, " trash ": 4.0}, ("trash can",))
+    began = time.monotonic()
+    assert model.measure("trash can idiot " * 130_000) == (650_000.0, 390_000)
+    assert time.monotonic() - began < 30
+
+
 def test_toxicity_folding_and_exceptions():
-    model = toxicity.Model({" idiot ": 5.0, " scu": 4.0})
+    model = toxicity.Model({" idiot ": 5.0, " scu": 4.0}, ("pond scum",))
     assert model.measure("1D10T!")[0] == model.measure("an іdiοt")[0] == 5.0
     assert model.measure("pond scum and Scumbags")[0] == 4.0
     assert model.measure(None) == (0, 0) and model.measure("") == (0, 0)
@@ -100,20 +133,40 @@ def brute_phrases(text, sample):
     return n
 
 
-def test_cross_parsing_counts_phrases(monkeypatch):
-    monkeypatch.setattr(language_id, "LANE", 1 << 20)
+@pytest.mark.parametrize("lane", [1, 3, 20, language_id.LANE])
+def test_cross_parsing_counts_phrases(monkeypatch, lane):
+    """Phrase counts as one parse from start to end gives them, over the edges of lanes, and the language of the fewest."""
+    monkeypatch.setattr(language_id, "LANE", lane)
     rows = language_corpus(60)
     model = language_id.Model({k: " ".join(t for _, t, lang in rows[:30] if lang == k) for k in LANGS})
-    texts = [t for _, t, _ in rows[30:]] + ["  Ta  ne,,ro Ω", "", "x"]
-    counts, sizes, *_ = model.phrases(texts)
+    texts = [t for _, t, _ in rows[30:]] + ["  Ta  ne,,ro Ω", "", "x", None, " ".join(t for _, t, _ in rows)]
+    counts, sizes = model.phrases(texts)
     for i, t in enumerate(texts):
-        clean = " ".join(re.findall(r"[^\W\d_]+", t.lower()))
+        clean = " ".join(re.findall(r"[^\W\d_]+", (t or "").lower()))
         assert sizes[i] == len(clean)
         for k, lang in enumerate(model.languages):
             sample = " ".join(re.findall(r"[^\W\d_]+", model.samples[lang].lower()))
             assert counts[k, i] == brute_phrases(clean, sample), (t, lang)
 
 
+def test_twenty_languages_in_three_scripts():
+    """Held-out texts are told apart, long ones in seconds, and the automata stay small."""
+    rng = random.Random(12)
+    scripts = ("abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x4E00, 0x4E00 + 1200))))
+
+    def words(k, n, own):
+        r = random.Random(k)
+        letters = scripts[k % 3]
+        lexicon = ["".join(r.choice(letters) for _ in range(r.randrange(1, 3) if k % 3 == 2 else r.randrange(2, 9))) for _ in range(1500)]
+        return ("" if k % 3 == 2 else " ").join(own.choice(lexicon) for _ in range(n))
+
+    model = language_id.Model({f"l{k:02}": words(k, 20_000, rng)[: language_id.SAMPLE_CHARS] for k in range(20)})
+    size = sum(x.nbytes for p in model.parsers() for x in (p.only, p.to, p.row, p.dense))
+    assert size < 500 << 20
+    counts, _ = model.phrases([words(k, 60, rng) for k in range(20)])
+    assert counts.argmin(0).tolist() == list(range(20))
+
+
 def test_url_features_agree_and_rules(spark):
     trees = url_filter.default_trees()
     urls = [u for u, _ in url_filter.labelled_urls()[::7]] + [None, "", "nothing", "HTTP://A.NET", "http://x.net/", "http://x.example.NET/en/1?q=1", "ftp://example.com/de/", "http://notexample.com/de/x", "a://b://c/d", "http://net/", "http://u.org/fr/2#f", "http://org/frx", "x://h?a=1&b=2#c"]
@@ -129,10 +182,37 @@ def test_url_features_agree_and_rules(spark):
         assert (out[i]["rule"], out[i]["verdict"]) == (rule, verdict or ("block" if margin > 0 else "allow")), u
 
 
+def test_url_rules_and_suffixes_beyond_a_case(spark, monkeypatch):
+    """Tables give what expressions give."""
+    rng = random.Random(14)
+    hosts = [".".join(rng.choice("abc") for _ in range(n)) for n in (1, 1, 2, 2, 3) for _ in range(6)]
+    rules = [(rng.choice(["allow", "block"]), h, rng.choice(["/", "/x/", "/x", ""])) for h in hosts]
+    urls = [f"http://{rng.choice(['', 'w.', 'b.'])}{rng.choice(hosts)}{rng.choice(['', '/', '/x/1', '/xy', '?q'])}" for _ in range(300)] + [None, "", "x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = sorted(map(tuple, url_filter.filter_urls(df, rules).collect()), key=lambda r: r[0])
+    monkeypatch.setattr(url_filter, "MOST_CASES", 1)
+    got = sorted(map(tuple, url_filter.filter_urls(df, rules).collect()), key=lambda r: r[0])
+    assert got == want and len({r[4] for r in want}) > 8
+    assert url_filter.filter_urls(df.limit(0), rules).count() == 0
+
+
+def test_url_features_all_matter():
+    """Suffix, depth and parameters each move the margin of some url, all other features being equal."""
+    trees = url_filter.default_trees()
+    used = {url_filter.FEATURES[f] for tree in trees.trees for f, _ in tree[:3]}
+    assert {"suffix_rate", "depth", "parameters", "hyphens", "digit_ratio"} <= used
+
+    rows = [url_filter.features_of(u, trees.rates, trees.prior) for u, _ in url_filter.labelled_urls()[:200]]
+    for name in ("suffix_rate", "depth", "parameters"):
+        f = url_filter.FEATURES.index(name)
+        values = sorted({r[f] for r in rows})
+        assert any(trees.margin(r) != trees.margin([*r[:f], v, *r[f + 1 :]]) for r in rows for v in (values[0], values[-1])), name
+
+
 def test_url_trees_fit_held_out(spark):
     rows = url_filter.labelled_urls()
-    trees = url_filter.fit_frame(spark.createDataFrame([r for i, r in enumerate(rows) if i % 4], "url string, label int"))
-    held = [r for i, r in enumerate(rows) if i % 4 == 0]
+    trees = url_filter.fit_frame(spark.createDataFrame([r for i, r in enumerate(rows) if i % 8 > 1], "url string, label int"))
+    held = [r for i, r in enumerate(rows) if i % 8 <= 1]
     right = sum((trees.margin(url_filter.features_of(u, trees.rates, trees.prior)) > 0) == bool(y) for u, y in held)
     assert right >= 0.9 * len(held)
     assert url_filter.fit([("http://a.com", 1)]).trees == []
@@ -208,33 +288,75 @@ def test_mixing_does_not_depend_on_partitions(spark):
     assert a == sorted(map(tuple, mixing.mix(df.repartition(7, "source")).collect()))
 
 
-def test_pfair_deviation_is_below_one():
-    rng = random.Random(1)
-    for _ in range(20):
-        weights = {f"s{i}": rng.random() ** 3 + 1e-3 for i in range(rng.randrange(1, 15))}
-        shares = mixing.quantised(weights)
-        assert sum(shares.values()) == mixing.RESOLUTION and min(shares.values()) >= 1
-        slots = mixing.pfair(shares)
-        owner = {t: k for k, ts in slots.items() for t in ts}
-        done = Counter()
-        for t in range(mixing.RESOLUTION):
-            done[owner[t]] += 1
-            assert all(abs(done[k] - (t + 1) * n / mixing.RESOLUTION) < 1 for k, n in shares.items())
+def scheduled(blocks, weights, size):
+    """(phase, slot in it, source, block, released, due) of the whole schedule, epoch by epoch."""
+    for phase, (names, shares, before, epochs, length, _) in enumerate(mixing.phases(blocks, weights, size)):
+        slot, own = 0, mixing.epoch_size(shares, sum(shares), size)
+        for epoch in range(epochs + 1):
+            for j, i, released, due in mixing.epoch_turns(shares, sum(shares), epoch, epochs, length, own):
+                yield phase, slot, names[j], before[j] + i, released, due
+                slot += 1
+        assert slot == length
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 2}, {"a": 0.0001, "b": 0.5, "c": 0.4999}, {f"s{i}": (i + 1) ** 0.5 for i in range(30)}, {f"s{i:04}": 1 + i % 7 for i in range(2500)}])
-def test_mixing_keeps_to_the_true_weights_on_long_schedules(weights):
+@pytest.mark.parametrize("size", [1, 7, 64, 4096])
+def test_epochs_keep_to_the_true_weights(size):
+    """In every prefix of a phase each source is less than one block from its exact share, however the phase is cut, and every block goes once."""
     from fractions import Fraction
 
-    whole = sum(map(Fraction, weights.values()))
-    share = {k: Fraction(w) / whole for k, w in weights.items()}
+    rng = random.Random(size)
+    for _ in range(25):
+        weights = {f"s{i:02}": rng.choice([rng.random() ** 4 + 1e-4, rng.randrange(1, 9), 0.1, 1 / 3]) for i in range(rng.randrange(1, 13))}
+        blocks = {k: rng.randrange(0, 120) for k in weights}
+        done, seen, at = Counter(), set(), -1
+        for phase, slot, k, block, released, due in scheduled(blocks, weights, size):
+            if phase != at:
+                at, done = phase, Counter()
+                active = [x for x in weights if sum((x, b) not in seen for b in range(blocks[x]))]
+                whole = sum(Fraction(weights[x]) for x in active)
+            assert (k, block) not in seen and released <= slot < due
+            seen.add((k, block))
+            done[k] += 1
+            assert all(abs(done[x] - (slot + 1) * Fraction(weights[x]) / whole) < 1 for x in active)
+        assert seen == {(k, b) for k, n in blocks.items() for b in range(n)}
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 2}, {"a": 0.618, "b": 0.382}, {"a": 0.0001, "b": 0.5, "c": 0.4999}, {"a": 0.9} | {f"s{i}": 0.001 for i in range(100)}, {f"s{i}": (i + 1) ** 0.5 for i in range(30)}])
+def test_mixing_keeps_to_the_true_weights_on_long_schedules(weights):
+    """At every cut of a million slots the counts are the exact shares, rounded, and the epochs between two of them are whole."""
+    shares = list(mixing.exact(weights).values())
+    total = sum(shares)
+    size = mixing.epoch_size(shares, total)
+    for t in range(0, 1_000_001, size):
+        done = mixing.boundary(shares, total, t)
+        assert sum(done) == t and all(0 <= d * total - n * t < total or 0 < n * t - d * total < total for d, n in zip(done, shares))
+    for epoch in (0, 1, 100, 243):
+        found = Counter(j for j, *_ in mixing.epoch_turns(shares, total, epoch, 244, 10**9, size))
+        a, b = (mixing.boundary(shares, total, (epoch + k) * size) for k in (0, 1))
+        assert [found[j] for j in range(len(shares))] == [y - x for x, y in zip(a, b)]
+
+
+def test_five_thousand_sources_keep_to_their_weights():
+    weights = {f"s{i:04}": 0.9 if not i else 0.1 / 20_000 * (1 + i % 7) for i in range(5000)}
+    shares = list(mixing.exact(weights).values())
+    total, done = sum(shares), [0] * 5000
+    size = mixing.epoch_size(shares, total)
+    before = mixing.boundary(shares, total, 3 * size)
+    for slot, (j, i, released, due) in enumerate(mixing.epoch_turns(shares, total, 3, 10, 10**9, size), 3 * size):
+        assert i == before[j] + done[j] and released <= slot < due
+        done[j] += 1
+    assert size > 100_000 and sum(done) == size and [x + y for x, y in zip(before, done)] == mixing.boundary(shares, total, 4 * size)
+
+
+def test_mixing_in_several_epochs(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rows = [(i, "abc"[min(i % 5, 2)]) for i in range(20_000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), {"a": 1, "b": 2, "c": 7}, block=1).orderBy("position").collect()
+    assert [r["position"] for r in out] == list(range(20_000)) == [r["slot"] for r in out]
     done = Counter()
-    for t, (phase, slot, k, _, _) in enumerate(mixing.phases(dict.fromkeys(weights, 30_000), weights)):
-        if phase or t == 20_000:
-            break
-        assert slot == t and done[k] - t * share[k] > -1 and done[k] + 1 - (t + 1) * share[k] < 1
-        done[k] += 1
-    assert t == 20_000 and all(abs(done[k] - t * share[k]) < 1 for k in share)
+    for t, r in enumerate(out[:17_000], 1):
+        done[r["source"]] += 1
+        assert r["phase"] or all(abs(done[k] - t * w / 10) < 1 for k, w in (("a", 1), ("b", 2), ("c", 7)))
 
 
 def test_mixing_takes_any_number_of_sources(spark):
@@ -245,19 +367,14 @@ def test_mixing_takes_any_number_of_sources(spark):
 
 def test_unspaced_scripts_keep_their_letters_beside_digits():
     chinese = "今天是2024年5月1日，我们在北京/上海见面，天气非常好"
-    assert language_id.prose(chinese + " hello a/b key=1 https://a.org/x1").split() == [chinese, "hello"]
-    assert language_id.prose("größe/2 word x2 word").split() == ["größe/2", "word", "word"]
-    assert language_id.prose("x1 y2") == "x1 y2"
     model = language_id.Model({"en": "hello world this is a text in english " * 5, "zh": "今天我们在北京上海见面天气非常好年月日是" * 5})
-    model.build()
-    counts, sizes, won, strength = model.phrases([chinese + " hello world"])
-    assert model.languages[int(won[:, 0].argmax())] == "zh" and sizes[0] > 25
+    counts, sizes = model.phrases([chinese + " hello world"])
+    assert model.languages[int(counts[:, 0].argmin())] == "zh" and sizes[0] > 25
 
 
 def test_languages_learn_from_anywhere_in_rows_and_all_of_them(spark):
     rows = [("aa", f"{'head ' * 400}{i} {'tail ' * 400}") for i in range(40)] + [(f"l{i:03}", f"only {chr(97 + i % 26) * 3} number") for i in range(300)]
     model = language_id.train(spark.createDataFrame(rows, "lang string, text string"))
-    model.build()
     assert len(model.languages) == 301
     counts, *_ = model.phrases(["tail tail tail tail tail tail"])
     assert model.languages[int(counts[:, 0].argmin())] == "aa"

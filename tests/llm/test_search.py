@@ -153,6 +153,64 @@ def test_alignment_is_a_common_subsequence():
     assert len(license_scan.align(list(enumerate(["z", *whole, "z"])), whole)) == 20
 
 
+def test_every_notice_that_is_there_is_found():
+    """Notices in texts of their own words, whole and with some words lost or put in: coverage is what the best window has."""
+    rng = random.Random(21)
+    scan = license_scan.Scanner().scan
+    for name, notice in license_scan.TEMPLATES.items():
+        own = license_scan.words_at(notice)[0]
+        around = own + "the of and river stone".split()
+        for trial in range(24):
+            head, tail = (" ".join(rng.choice(around) for _ in range(rng.randrange(10, 200))) for _ in range(2))
+            found = {k: c for k, c, *_ in scan(f"{head} {notice} {tail}")}
+            assert found.get(name) == 1.0, (name, trial)
+            if len(own) >= 20:
+                words = [w for i, w in enumerate(own) if i % 12 != trial % 12]
+                for _ in range(3):
+                    words.insert(rng.randrange(len(words)), "otherword")
+                found = {k: c for k, c, *_ in scan(f"{head} {' '.join(words)} {tail}")}
+                assert found.get(name, 0) >= round((len(words) - 3) / len(own), 4), (name, trial)
+
+
+def test_coverage_is_that_of_the_best_window():
+    """Against the longest common subsequences of all windows: never more, and at least what is found without repeats."""
+    rng = random.Random(22)
+    template = [f"w{i}" for i in range(12)]
+    scanner = license_scan.Scanner({"t": " ".join(template)}, least=0.5)
+    for _ in range(150):
+        words = [rng.choice(template + ["x"] * 12) for _ in range(rng.randrange(5, 60))]
+        at = rng.randrange(len(words))
+        words[at:at] = [w for w in template if rng.random() < 0.8]
+        width = int(license_scan.SLACK * len(template)) + 1
+        best = max(brute_lcs(words[i : i + width], template) for i in range(len(words))) / len(template)
+        got = max([c for _, c, *_ in scanner.scan(" ".join(words))], default=0)
+        assert got <= round(best, 4) and (got >= 0.5 or best < 0.75)
+
+
+def test_templates_from_a_table(spark):
+    df = spark.createDataFrame([("own", "Kept under our own house rules."), ("none", None), (None, "x")], "license string, text string")
+    templates = license_scan.templates_of(df)
+    docs = spark.createDataFrame([(1, "a b kept under our own house rules c"), (2, "nothing")], "doc_id long, text string")
+    got = {r["doc_id"]: [x["license"] for x in r["licenses"]] for r in license_scan.scan_licenses(docs, templates).collect()}
+    assert got == {1: ["own"], 2: []}
+
+
+def test_hostile_texts_end_soon():
+    """Two million characters of what makes a search start over at every place."""
+    import time
+
+    began = time.monotonic()
+    n = 1 << 21
+    for text in ("a" * n + "@", "a@" + "b-" * (n // 2), "a@" * (n // 2), "1" * n, "1." * (n // 2), "+1" + "(" * n, "1 " * (n // 2), "AB12 " * (n // 5), "a.b@c." * (n // 6)):
+        pii.find_spans(text)
+    assert time.monotonic() - began < 120
+    began = time.monotonic()
+    text = ("word " * 3 + "x y z\n") * (n // 24)
+    spans = [(7 * i, 7 * i + 3) for i in range(n // 64)]
+    cleaned, chars = decontaminate.cut_spans(text.encode(), spans)
+    assert len(chars) == len(spans) and time.monotonic() - began < 20
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
