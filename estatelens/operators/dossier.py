@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import matches, text
 from ..settings import DEFAULTS, Settings
+from .retrieval import bounded
 
 # Shapes of identifiers in prose, words that join prose compounds, and words of speculation.
 CAMEL = r"(?U)\b[A-Za-z][a-z0-9]*[a-z0-9][A-Z][A-Za-z0-9]*\b"
@@ -14,7 +15,7 @@ SNAKE = r"(?U)\b[A-Za-z]\w*_\w+\b"
 DASHED = r"(?U)\b[a-z][a-z0-9]*(?:-[a-z0-9]+){2,}\b"
 FILE = r"(?U)\b[\w.-]+\.(?:java|ts|js|py|json|yaml|yml|xml|raml|csv|feature|sql|html|tsx)\b"
 TICKET = r"(?U)\b[A-Z]{2,}-\d+\b"
-JOINERS = "to in of and or for with the a an at on by from as per vs".split()
+JOINERS = ("to", "in", "of", "and", "or", "for", "with", "the", "a", "an", "at", "on", "by", "from", "as", "per", "vs")
 SPECULATION = r"(?iU)\b(probably|likely|presumably|possibly|perhaps|appears to|seems to|suggests that|may be|might be|could be)\b"
 
 
@@ -48,10 +49,31 @@ def community_digest(nodes: DataFrame, degrees: DataFrame, labels: DataFrame | N
         votes = (mined if mine is None else mine.unionByName(mined)).groupBy("community", "ticket").agg(F.sum("n").alias("n"), F.min("rn").alias("first"))
         out = out.join(as_list(top_per_group(votes, "community", 8, F.desc("n"), "first", "ticket"), "community", F.col("ticket"), "tickets"), "community", "left")
     if labels is not None:
-        out = out.join(labels.select(F.col("community").cast(nodes.schema["community"].dataType), "label"), "community", "left")
+        given = labels.select(F.col("community").cast(nodes.schema["community"].dataType), F.nullif("label", F.lit("")).alias("_given"))
+        out = out.join(given, "community", "left").join(derived_labels(ranked, repos), "community", "left").withColumn("label", F.coalesce("_given", "_derived", F.lit(""))).drop("_given", "_derived")
     return out
 
 
+def derived_labels(ranked: DataFrame, repos: DataFrame) -> DataFrame:
+    """(community, _derived): a name from evidence where none is given: the commonest repository and the first node with a label, or what there is of both."""
+    top = ranked.where(text("label") != "").groupBy("community").agg(F.min_by("label", "rn").alias("_top"))
+    main = repos.where("rn = 1").select("community", F.col("repo").alias("_repo"))
+    return top.join(main, "community", "full_outer").select("community", F.concat_ws(": ", "_repo", "_top").alias("_derived"))
+
+
+def summary_coverage(nodes: DataFrame, summaries: DataFrame, repo: str) -> DataFrame:
+    """(covered, uncovered): of a repository's communities those with and without a summary."""
+    own = nodes.where((F.col("repo") == repo) & F.col("community").isNotNull()).select(F.col("community").cast("string").alias("community")).distinct()
+    known = summaries.select(F.col("community").cast("string").alias("community")).distinct().withColumn("_has", F.lit(1))
+    return own.join(known, "community", "left").agg(F.count("_has").alias("covered"), F.count_if(F.col("_has").isNull()).alias("uncovered"))
+
+
+def merge_accounts(known: DataFrame, merged: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """What is known and wasn't merged, and what was merged and isn't known."""
+    a, b = known.select(key).distinct(), merged.select(key).distinct()
+    return a.join(b, key, "left_anti"), b.join(a, key, "left_anti")
+
+
 def prose_identifiers(c: Column) -> Column:
     """Words of prose that are shaped like claims about code."""
     found = F.array_union(F.array_union(matches(c, FILE, 0), matches(c, TICKET, 0)), F.array_union(matches(c, CAMEL, 0), matches(c, SNAKE, 0)))
@@ -117,18 +139,26 @@ def topic_nodes(nodes: DataFrame, topics: DataFrame) -> DataFrame:
     """Nodes whose label or file has a keyword of a topic; keywords are a hand-written list."""
     words = topics.select("slug", F.explode("keywords").alias("k"))
     hay = F.lower(F.concat_ws(" ", text("label"), text("source_file")))
-    return nodes.withColumn("_h", hay).join(F.broadcast(words), F.col("_h").contains(F.col("k"))).drop("_h", "k").distinct()
+    return nodes.withColumn("_h", hay).join(bounded(words), F.col("_h").contains(F.col("k"))).drop("_h", "k").distinct()
 
 
-def topic_dossier(nodes: DataFrame, links: DataFrame, degrees: DataFrame, topics: DataFrame) -> dict[str, DataFrame]:
-    """By topic: twelve nodes a repository, twenty-five features, and the tickets one hop away."""
+def topic_dossier(nodes: DataFrame, links: DataFrame, degrees: DataFrame, topics: DataFrame, summaries: DataFrame | None = None, records: DataFrame | None = None) -> dict[str, DataFrame]:
+    """By topic: twelve nodes a repository, twenty-five features, forty tickets one hop away, and, where given, twenty summaries and forty described tickets that have a keyword."""
     found = topic_nodes(nodes, topics).join(degrees, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     per_repo = found.withColumn("rn", F.row_number().over(Window.partitionBy("slug", "repo").orderBy(F.desc("degree"), "label", "id"))).where("rn <= 12")
     features = top_per_group(found.where("kind IN ('feature', 'gherkin_feature')"), "slug", 25, F.desc("degree"), "label", "id")
     ends = links.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("other")), F.struct(F.col("target").alias("id"), F.col("source").alias("other")))).alias("e")).select("e.*")
     tickets = found.select("slug", "id").join(ends, "id").join(nodes.where("kind IN ('ticket', 'jira_ticket')").select(F.col("id").alias("other"), F.col("label").alias("ticket")), "other")
     counted = tickets.groupBy("slug", "ticket").agg(F.count_distinct("id").alias("n"))
-    return {"nodes": per_repo, "features": features, "tickets": top_per_group(counted, "slug", 40, F.desc("n"), "ticket")}
+    out = {"nodes": per_repo, "features": features, "tickets": top_per_group(counted, "slug", 40, F.desc("n"), "ticket")}
+    words = bounded(topics.select("slug", F.explode("keywords").alias("k")))
+    if summaries is not None:  # community, text
+        said = summaries.join(words, F.lower("text").contains(F.col("k"))).select("slug", "community", "text").distinct()
+        out["summaries"] = top_per_group(said, "slug", 20, "community")
+    if records is not None:  # ticket, d, repos
+        told = records.join(words, F.lower(F.array_join("d", " ")).contains(F.col("k"))).select("slug", "ticket", "d", "repos").distinct()
+        out["described"] = top_per_group(told, "slug", 40, F.desc(F.size("repos")), "ticket")
+    return out
 
 
 def prose_gate(prose: DataFrame, known: DataFrame, least: int, most: int | None = None, key: str = "community", must: str | None = None) -> DataFrame:

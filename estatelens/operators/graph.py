@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_minified, text
 from ..settings import DEFAULTS, Settings
+from .shared import durable
 
 # Legacy names of node kinds, and kinds that are always entries.
 KIND_ALIASES = {"gherkin_feature": "feature", "gherkin_scenario": "scenario", "jira_ticket": "ticket"}
@@ -72,18 +73,24 @@ def entries(nodes: DataFrame, links: DataFrame, settings: Settings = DEFAULTS) -
     return joined.where(include_entry(F.col("degree"), settings)).withColumn("entry_kind", entry_kind(F.col("kind"), F.col("file_type")))
 
 
-def with_rank(df: DataFrame, *order: Column, name: str = "eid") -> DataFrame:
-    """Consecutive numbers from 0 in a total order, without a single-task window: range partitions are counted, then numbered within."""
+def with_rank(df: DataFrame, *order: Column, name: str = "eid", weight: str | None = None) -> DataFrame:
+    """Consecutive numbers from 0 in a total order (or the sum of ``weight`` over all rows before), without a single-task window.
+
+    Range partitions are written to the shared folder, counted, and numbered within; what is numbered is what was counted,
+    whatever executors are lost in between.
+    """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    placed = placed.persist()  # the partitions that are counted must be those that are numbered
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("_first")).orderBy("_p").collect()  # one row a partition
+    placed = durable(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    size = F.count("*") if weight is None else F.sum(weight).cast("long")
+    sizes = placed.groupBy("_p").agg(size.alias("n"), F.min("_i").alias("_first")).orderBy("_p").collect()  # one row a partition
     starts, total = [], 0
     for r in sizes:
         starts.append((r["_p"], r["_first"], total))
         total += r["n"]
     offsets = df.sparkSession.createDataFrame(starts or [(0, 0, 0)], "_p int, _first long, _start long")
-    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_i") - F.col("_first") + F.col("_start")).drop("_p", "_i", "_first", "_start")
+    before = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.col("_i") - F.col("_first") if weight is None else F.coalesce(F.sum(weight).over(before), F.lit(0))
+    return placed.join(F.broadcast(offsets), "_p").withColumn(name, own + F.col("_start")).drop("_p", "_i", "_first", "_start")
 
 
 def kept_edges(links: DataFrame, kept: DataFrame, rank: str = "eid") -> DataFrame:
@@ -95,20 +102,30 @@ def kept_edges(links: DataFrame, kept: DataFrame, rank: str = "eid") -> DataFram
 
 
 def top_neighbours(nodes: DataFrame, links: DataFrame, k: int = 5) -> DataFrame:
-    """Each node's ``k`` neighbours of different labels: degree descending, id ascending, a label's first only."""
-    known = nodes.select(F.col("id").alias("other"), F.col("label").alias("other_label")).join(degree(links).withColumnRenamed("id", "other"), "other")
-    order = (F.desc("degree"), F.asc("other"))
-    near = symmetric(links).where("node <> other").join(known, "other").where("other_label <> ''")
+    """Each node's ``k`` neighbours of different labels: degree descending, id ascending, a label's first only.
+
+    Nodes are numbered in that order once, so that pairs, the first of a label and the rank are of longs, aggregated by hash.
+    """
+    known = with_rank(nodes.select("id", "label").join(degree(links), "id"), F.desc("degree"), F.asc("id"), name="at")
+    numbers = known.select("id", "at")
+    ends = links.select("source", "target").distinct().join(numbers.toDF("source", "a"), "source", "left").join(numbers.toDF("target", "b"), "target", "left")
+    lonely = ends.where("a IS NULL OR b IS NULL")  # an end that is no node still has neighbours, by its id
+    pairs = ends.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    shown = known.where("label <> ''").select(F.col("at").alias("other"), F.col("label").alias("other_label"), "degree", F.col("id").alias("other_id"))
+    near = pairs.distinct().join(shown.select("other", "other_label"), "other")
+    by_id = lonely.where("a IS NULL AND b IS NOT NULL").select(F.col("source").alias("id"), F.col("b").alias("other")).unionByName(lonely.where("b IS NULL AND a IS NOT NULL").select(F.col("target").alias("id"), F.col("a").alias("other")))
     # one row a label with map-side combine, then the rank over what is left
-    first = near.groupBy("node", "other_label").agg(F.min_by(F.struct("degree", "other"), F.struct((-F.col("degree")).alias("d"), "other")).alias("x"))
-    ranked = first.select("node", "other_label", "x.degree", "x.other").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(*order)))
-    return ranked.where(F.col("rank") <= k)
+    first = near.groupBy("node", "other_label").agg(F.min("other").alias("other")).join(numbers.toDF("id", "node"), "node").select("id", "other_label", "other")
+    first = first.unionByName(by_id.distinct().join(shown.select("other", "other_label"), "other").groupBy("id", "other_label").agg(F.min("other").alias("other")))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("other"))).where(F.col("rank") <= k)
+    return ranked.join(shown.drop("other_label"), "other").select(F.col("id").alias("node"), "other_label", "degree", F.col("other_id").alias("other"), "rank")
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, hops: int, cap: int | None = None) -> DataFrame:
     """Nodes within ``hops`` of the seeds (column node) with their distance. The cap is looked at after a whole level, so the last level may pass it.
 
-    ``edges`` is symmetric (node, other). Levels are few and bounded, and each is a join and an anti-join; the visited set is cut after each.
+    ``edges`` is symmetric (node, other). Levels are few and bounded, and each is a join and an anti-join. What a level has
+    reached is written to the shared folder, so that the next one doesn't work it out again.
     """
     seen = seeds.select("node").distinct().withColumn("dist", F.lit(0))
     front = seen
@@ -117,6 +134,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, hops: int, cap: int | None = None) -
             break
         new = edges.join(front.select("node"), "node").select(F.col("other").alias("node")).distinct()
         front = new.join(seen.select("node"), "node", "left_anti").withColumn("dist", F.lit(d))
+        front = durable(front) if d < hops else front
         seen = seen.unionByName(front)
     return seen
 

@@ -90,6 +90,11 @@ def authors(commits: DataFrame, k: int = 20) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("repository").orderBy(F.desc("n"), F.lower("author"), "author"))).where(F.col("rank") <= k)
 
 
+def exported(commits: DataFrame) -> DataFrame:
+    """(repository, n, newest): how many commits an exported history has, and the date of its newest."""
+    return commits.groupBy("repository").agg(F.count("*").alias("n"), F.max("author_date").alias("newest"))
+
+
 def commits_by_year(commits: DataFrame) -> DataFrame:
     return commits.groupBy("repository", F.substring("author_date", 1, 4).alias("year")).agg(F.count("*").alias("n"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_id
+from ..functions.text import norm_id, text
+from .retrieval import bounded
 
 MAX_EVIDENCE = 5
 MIN_STEM = 4
@@ -24,7 +25,7 @@ def mint_communities(names: DataFrame, nodes: DataFrame, name: str) -> DataFrame
 def gherkin_layer(features: DataFrame, steps: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) of features, scenarios, tickets, and their step definitions' classes in the same repository."""
     areas = mint_communities(features, nodes, "area")
-    f = features.join(F.broadcast(areas), "area").withColumn("fid", norm_id(F.concat("repo", F.lit("_"), "path")))
+    f = features.join(bounded(areas), "area").withColumn("fid", norm_id(F.concat("repo", F.lit("_"), "path")))
     origin = F.lit("gherkin").alias("_origin")
     own = f.select(F.col("fid").alias("id"), F.col("name").alias("label"), "repo", F.col("path").alias("source_file"), "community", F.lit("feature").alias("kind"), "tickets", origin)
     scen = f.select("fid", "repo", "path", "community", F.posexplode("scenarios").alias("i", "label")).withColumn("sid", F.concat("fid", F.lit("_s"), "i"))
@@ -61,6 +62,13 @@ def module_layer(references: DataFrame, estate: DataFrame, repo_nodes: DataFrame
     return nodes, files.select(*edge(F.col("id"), F.concat("provider", F.lit("::module")), "uses_module", F.col("file")))
 
 
+def anchors_under(nodes: DataFrame, packages: DataFrame) -> DataFrame:
+    """(repo, package, id): the least id of a repository's nodes whose file's path begins with the package's folder (``packages``: repo, package, prefix)."""
+    own = packages.select("repo", "package", "prefix").distinct()
+    found = nodes.where(text("source_file") != "").select("repo", "source_file", "id").join(own, "repo").where(F.col("source_file").startswith(F.col("prefix")))
+    return found.groupBy("repo", "package").agg(F.min("id").alias("id"))
+
+
 def service_stem(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace(c, r"_values\.ya?ml(\.j2)?$", ""), "-service$", "")), "[^a-z0-9]", "")
 
@@ -83,7 +91,7 @@ def deployment_layer(values: DataFrame, matched: DataFrame, nodes: DataFrame, an
     """(nodes, links): a node for each environment and each service in it, one community an environment, and a link to the service's repository (``anchors``: repo, id)."""
     own = values.where("config IS NOT NULL")
     env = mint_communities(own, nodes, "environment")
-    rows = own.join(F.broadcast(env), "environment").withColumn("did", norm_id(F.concat(F.lit("deploy_"), "environment", F.lit("_"), "service")))
+    rows = own.join(bounded(env), "environment").withColumn("did", norm_id(F.concat(F.lit("deploy_"), "environment", F.lit("_"), "service")))
     eid = norm_id(F.concat(F.lit("env_"), F.col("environment")))
     origin = F.lit("deployments").alias("_origin")
     environments = env.select(eid.alias("id"), F.col("environment").alias("label"), "community", F.lit("environment").alias("kind"), F.lit(None).cast("string").alias("repo"), F.lit(None).cast("map<string,string>").alias("config"), origin)

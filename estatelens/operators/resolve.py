@@ -12,9 +12,9 @@ from ..functions.text import spec_stem, strip, text
 
 # Labels too common to name one thing.
 GENERIC_LABELS = (
-    "kustomization helmrelease helmrepository namespace configmap secret deployment service ingress serviceaccount role rolebinding "
-    "clusterrole clusterrolebinding networkpolicy gitrepository provider variable output module resource data"
-).split()
+    "kustomization", "helmrelease", "helmrepository", "namespace", "configmap", "secret", "deployment", "service", "ingress", "serviceaccount", "role", "rolebinding",
+    "clusterrole", "clusterrolebinding", "networkpolicy", "gitrepository", "provider", "variable", "output", "module", "resource", "data",
+)
 MIN_GLOBAL = 8
 CHUNK_SUFFIX = r"_(c|chunk)\d{2,}(_\d+)?$"
 
@@ -80,6 +80,11 @@ def resolve_edges(chunk_edges: DataFrame, remap: DataFrame) -> tuple[DataFrame,
     return edges, ends.unionByName(duplicates)
 
 
+def token_totals(chunks: DataFrame) -> DataFrame:
+    """Tokens that all chunks took and gave; absent numbers count as none."""
+    return chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens")])
+
+
 def suffix_breaches(nodes: DataFrame) -> DataFrame:
     """Ids with a suffix that a chunk left."""
     return nodes.where(F.col("final_id").rlike(CHUNK_SUFFIX)).select("final_id")

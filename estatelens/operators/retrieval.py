@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_all, occurrences, text, tokens
+from ..functions.text import contains_all, occurrences, stem, text, tokens
 from ..settings import DEFAULTS, STOP_WORDS, Settings
 from .graph import bfs
 
@@ -44,6 +44,13 @@ def query_terms(question: str) -> list[str]:
     return list(dict.fromkeys(map(stem_word, content or words)))
 
 
+def terms_of(question: Column) -> Column:
+    """``query_terms`` as an expression."""
+    words = tokens(question)
+    content = F.filter(words, lambda w: ~w.isin(*STOP) & (F.length(w) > 1))
+    return F.array_distinct(F.transform(F.when(F.size(content) > 0, content).otherwise(words), stem))
+
+
 def expand_terms(terms: Sequence[str], neighbours: DataFrame) -> list[tuple[str, float]]:
     """Up to three neighbours (token, other, score, rank) for each term, first come, with their discounted weight."""
     rows = neighbours.where(F.col("token").isin(*terms) & (F.col("rank") <= 3)).collect() if terms else []
@@ -293,13 +300,19 @@ def ask(question: str, entries: DataFrame, edges: DataFrame, tickets: DataFrame,
         out.frames["used_by"] = where_used(edges, entries, out.seeds[:1])
     else:
         cap = {"impact": 2000, "why": 1200}.get(shape, 900)
-        start = seeds.limit(1) if shape in ("impact", "why") else seeds
+        start = seeds
+        if shape in ("impact", "why"):  # from the richest entry of the best label
+            label = entries.where(F.col("eid") == out.seeds[0]).select("label_lower").first()["label_lower"]
+            start = why_seed(entries, label).select(F.col("eid").alias("node"))
         reached = bfs(edges, start, 2, cap).withColumnRenamed("node", "eid")
         out.frames |= {"reached": reached, "communities": grouped(reached, entries, "community"), "repos": grouped(reached, entries, "repo"), "tickets": weighted_tickets(reached, entries)}
         if shape == "journey":
             features = ranked.where("kind = 'feature'").orderBy(F.desc("score"), "eid").limit(6)
             steps = edges.join(features.select(F.col("eid").alias("node")), "node").select(F.col("other").alias("eid"), F.col("node").alias("feature"))
             out.frames["scenarios"] = steps.join(entries.select("eid", "label", "kind"), "eid").where("kind = 'scenario'")
+            if not features.limit(1).count():  # no features: the evidence is shown as a cluster
+                out.view = "cluster"
+                del out.frames["scenarios"]
     out.frames["evidence"] = bm25(tickets, terms)
     return out
 

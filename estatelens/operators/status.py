@@ -27,6 +27,13 @@ def exit_code(rows: DataFrame, *, strict: bool = False, failing: tuple[str, ...]
     return int(bad.limit(1).count() > 0)
 
 
+def gate_code(declared: DataFrame | None, passed: DataFrame) -> int:
+    """2 if there was nothing to judge by (no questions or no answers), 1 if a mode's floor is broken (``gate`` rows), else 0."""
+    if declared is None or not declared.limit(1).count():
+        return 2
+    return int(passed.where("floor_broken").limit(1).count() > 0)
+
+
 def layer_coverage(**layers: tuple[DataFrame, DataFrame]) -> dict[str, tuple[int, int]]:
     """Written and expected numbers of each named layer."""
     return {k: (written.count(), expected.count()) for k, (written, expected) in layers.items()}
@@ -49,8 +56,8 @@ def dangling_citations(nodes: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def figure(report_text: Column, what: str) -> Column:
-    """A count that a report states, such as `12,345 nodes`; null if it states none. The first 4,000 characters are looked at, as that is where a report has it."""
-    found = F.regexp_extract(F.substring(report_text, 1, 4000), r"(\d[\d,]*) " + what, 1)
+    """The first count that a report states, such as `12,345 nodes`; null if it states none."""
+    found = F.regexp_extract(report_text, r"(\d[\d,]*) " + what, 1)
     return F.when(found != "", F.replace(found, F.lit(","), F.lit("")).cast("long"))
 
 

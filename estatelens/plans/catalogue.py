@@ -226,13 +226,13 @@ def instability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 SELECT coalesce(d.doc_id, l.doc_id) AS ticket, CASE WHEN l.doc_id IS NOT NULL AND l.quality = 1 THEN 'title-' || l.doc_id END AS title, d.doc_id IS NOT NULL AS mined
-FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL OUTER JOIN (SELECT * FROM labels WHERE NOT (quality = 0 AND toxic = 1)) l ON d.doc_id = l.doc_id"""
+FROM documents d FULL OUTER JOIN (SELECT 2 * doc_id AS doc_id, quality, toxic FROM labels WHERE NOT (quality = 0 AND toxic = 1)) l ON d.doc_id = l.doc_id"""
 )
 def tracker_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mined evidence with the tracker's; absent ones add nothing, denied ones a bare record."""
-    mined = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("ticket"), F.array().cast("array<string>").alias("d"), F.lit(True).alias("_mined"))
+    """Mined evidence with the tracker's, whose ids are doubled, so that each side has some alone; absent ones add nothing, denied ones a bare record."""
+    mined = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ticket"), F.array().cast("array<string>").alias("d"), F.lit(True).alias("_mined"))
     outcome = F.when((F.col("quality") == 0) & (F.col("toxic") == 1), "absent").when(F.col("quality") == 1, "fetched").otherwise("denied")
-    tracker = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ticket"), outcome.alias("outcome"), F.concat(F.lit("title-"), "doc_id").alias("summary"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("array<string>").alias("comments"))
+    tracker = table(spark, sf_dir, "labels").select((2 * F.col("doc_id")).alias("ticket"), outcome.alias("outcome"), F.concat(F.lit("title-"), 2 * F.col("doc_id")).alias("summary"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("array<string>").alias("comments"))
     return intent.merge_tracker(mined, tracker).select("ticket", "title", F.coalesce("_mined", F.lit(False)).alias("mined"))
 
 
@@ -413,12 +413,12 @@ def layer_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHUNK_NODES_SQL = """
-SELECT 'c' || (p_partkey % 5) AS chunk, 'n' || (p_partkey % 300) AS id, p_name AS label, CASE WHEN p_partkey % 2 = 0 THEN 'code' ELSE 'doc' END AS file_type, 'src/' || lower(p_brand) || '/f' || (p_partkey % 300) || '.md' AS source_file FROM part WHERE p_partkey % 300 < 250
+SELECT 'c' || (p_partkey % 5) AS chunk, 'n' || (p_partkey % 300) AS id, p_name AS label, CASE WHEN p_partkey % 2 = 0 THEN 'code' ELSE 'doc' END AS file_type, 'src/' || lower(p_brand) || '/f' || (p_partkey % 300) || '.md' AS source_file FROM part
 UNION ALL SELECT 'c' || (s_suppkey % 3), 'svc_' || s_suppkey, 'registry.example/img:' || (s_suppkey % 40), 'concept', 'deploy/' || s_suppkey || '.yaml' FROM supplier"""
 
 
 def _chunk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, s = table(spark, sf_dir, "part").where("p_partkey % 300 < 250"), table(spark, sf_dir, "supplier")
+    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     key = F.col("p_partkey")
     a = p.select(F.concat(F.lit("c"), key % 5).alias("chunk"), F.concat(F.lit("n"), key % 300).alias("id"), F.col("p_name").alias("label"), F.when(key % 2 == 0, "code").otherwise("doc").alias("file_type"), F.concat(F.lit("src/"), F.lower("p_brand"), F.lit("/f"), key % 300, F.lit(".md")).alias("source_file"))
     k = F.col("s_suppkey")

@@ -16,6 +16,13 @@ from ..sources.sinks import script_json
 MOST = 100_000
 
 
+def at_most(df: DataFrame, most: int, what: str) -> DataFrame:
+    """``df``, which goes into a small document; more rows than that are an error, never left out."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} {what}: too many for one document")
+    return df
+
+
 def synced_cell() -> Column:
     """Day and short sha of a provenance record, or a dash."""
     return F.when(text("sha") == "", "—").otherwise(F.concat(F.substring(text("committed"), 1, 10), F.lit(" (`"), F.substring("sha", 1, 8), F.lit("`)")))
@@ -26,14 +33,14 @@ def manifest(commits: DataFrame, provenance: DataFrame) -> list[str]:
     counts = commits.groupBy(F.col("repository").alias("name")).agg(F.count("*").alias("n"), F.min_by("repository_url", "pos").alias("url"))
     rows = counts.join(provenance.select("name", "sha", "committed"), "name", "left")
     line = F.concat(F.lit("| `"), "name", F.lit("` | "), F.col("n").cast("string"), F.lit(" | "), synced_cell(), F.lit(" | `"), F.coalesce("url", F.lit("Unknown")), F.lit("` |"))
-    body = [r["line"] for r in rows.select("name", line.alias("line")).orderBy("name").limit(MOST).collect()]
+    body = [r["line"] for r in at_most(rows.select("name", line.alias("line")), MOST, "repositories").orderBy("name").collect()]
     return ["# Repositories", "", "| Repository | Commits | Synced | Source |", "|---|---:|---|---|", *body, "", f"These {len(body)} repositories were read, and no others: what is missing here was never looked at."]
 
 
 def repository_index(commits: DataFrame, repository: str) -> list[str]:
     """Markdown of one repository's history: commits by year, newest first, and its most frequent authors."""
     own = commits.where(F.col("repository") == repository)
-    years = commits_by_year(own).orderBy(F.desc("year")).limit(MOST).collect()
+    years = at_most(commits_by_year(own), MOST, "years").orderBy(F.desc("year")).collect()
     top = authors(own).orderBy("rank").select(escape_markdown(F.col("author")).alias("author"), "n").collect()
     out = [f"# {repository}", "", "| Year | Commits |", "|---:|---:|", *(f"| {r['year']} | {r['n']} |" for r in years)]
     return [*out, "", "| Author | Commits |", "|---|---:|", *(f"| {r['author']} | {r['n']} |" for r in top)]
@@ -99,7 +106,7 @@ def ticket_detail(tracker_title: Column, csv_title: Column, mined: Column) -> Co
 
 def baseline(answers: DataFrame) -> str:
     """The accepted modes of each question (question, met), as one deterministic JSON text."""
-    rows = answers.select("question", F.array_sort("met").alias("met")).orderBy("question").limit(MOST).collect()
+    rows = at_most(answers.select("question", F.array_sort("met").alias("met")), MOST, "questions").orderBy("question").collect()
     return json.dumps({r["question"]: r["met"] for r in rows}, sort_keys=True, indent=1)
 
 

@@ -51,7 +51,6 @@ class Settings:
     deploy_page_keys: int = 12
     deploy_base_env: str = "_base"
     features_dir: str = "features/"
-    embedding_model: str = ""
 
     def with_overrides(self, overrides: Mapping[str, object]) -> "Settings":
         """A copy with some settings replaced; an unknown name is an error."""
@@ -71,6 +70,25 @@ class Settings:
         return replace(self, sensitive_patterns={**self.sensitive_patterns, **rules})
 
 
+def from_environment(env: Mapping[str, str], prefix: str) -> Settings:
+    """Settings from variables named ``prefix`` and a setting's name in capitals, by the setting's type.
+
+    Lists are comma-separated; ``sensitive_patterns`` is a JSON object that overlays the rules. Unknown names and values that don't parse are errors.
+    """
+    named = {k.removeprefix(prefix).lower(): v for k, v in env.items() if k.startswith(prefix)}
+    kinds = {f.name: getattr(DEFAULTS, f.name) for f in fields(Settings)}
+    out: dict[str, object] = {}
+    rules = named.pop("sensitive_patterns", None)
+    for name, value in named.items():
+        kind = kinds.get(name)
+        try:
+            out[name] = tuple(x.strip() for x in value.split(",") if x.strip()) if isinstance(kind, tuple) else int(value) if isinstance(kind, int) else value
+        except ValueError as e:
+            raise ValueError(f"{prefix}{name.upper()}: {value!r} is no number") from e
+    made = DEFAULTS.with_overrides(out)
+    return made if rules is None else made.with_rules(rules)
+
+
 def browse_url(value: str) -> str:
     """A prefix that a ticket id can follow: a slash is added unless a separator already ends it."""
     value = value.strip()

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schemas import COMMIT, LINK, NODE
+from .schemas import COMMIT, LINK, LIST, NODE, L, S, strings, struct
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -33,10 +36,112 @@ def read_graph(spark: SparkSession, path: str, required: bool = True) -> tuple[D
     return nodes, doc.select(F.posexplode("links").alias("pos", "l")).select("pos", "l.*")
 
 
+class ArrayScanner:
+    """Cuts the objects of one named array of a document's top level out of its text, which comes in pieces; holds little more than an object."""
+
+    def __init__(self, key: str):
+        self.key, self.rest, self.depth, self.name = key, "", 0, None
+        self.state = "outside"  # then "named", "inside", "done"
+        self.decoder = json.JSONDecoder()
+
+    def feed(self, piece: str) -> Iterator[str]:
+        text = self.rest + piece
+        at = self.seek(text) if self.state in ("outside", "named") else 0
+        while self.state == "inside":
+            at = GAP.match(text, at).end()
+            if at >= len(text):
+                break
+            if text[at] == "]":
+                self.state = "done"
+                break
+            try:
+                _, end = self.decoder.raw_decode(text, at)
+            except ValueError:  # an object that goes on in the next piece
+                break
+            if text[at] == "{":
+                yield text[at:end]
+            at = end
+        self.rest = "" if self.state == "done" else text[at:]
+
+    def seek(self, text: str) -> int:
+        """Goes on through the top level to the array; where a string is cut, back to its start."""
+        at = 0
+        while found := TOKEN.search(text, at):
+            token = found[0]
+            if token == '"':  # no end yet
+                return found.start()
+            at = found.end()
+            if token[0] == '"':
+                self.name = token[1:-1] if self.depth == 1 else None
+            elif token == "[" and self.depth == 1 and self.state == "named":
+                self.state = "inside"
+                return at
+            elif token in "[{":
+                self.depth += 1
+            elif token in "]}":
+                self.depth -= 1
+            self.state = "named" if token == ":" and self.depth == 1 and self.name == self.key else "outside"
+        return len(text)
+
+
+#: Strings, or the start of one without an end, and the signs between them; and what may stand between an array's items.
+TOKEN = re.compile(r'"(?:[^"\\]++|\\.)*+"|["\[\]{}:,]', re.DOTALL)
+GAP = re.compile(r"[\s,]*")
+
+
 def read_array(spark: SparkSession, path: str, key: str, item: T.StructType) -> DataFrame:
-    """The objects of one named array of a document. The reader keeps the named column alone."""
-    doc = read_json(spark, path, T.StructType([T.StructField(key, T.ArrayType(item))]))
-    return doc.select(F.posexplode(key).alias("pos", "x")).select("pos", "x.*")
+    """The objects of one named array of a document, with their places, in memory that doesn't grow with the document.
+
+    The text is read in pieces that end at a brace, cut into objects by one task in the order of the file, and parsed by all.
+    No rows if the document or the array is absent; a document that ends inside the array is an error.
+    """
+    try:
+        pieces = spark.read.option("lineSep", "}").text(path).select("value", "_metadata.file_block_start")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], T.StructType([T.StructField("pos", T.IntegerType()), *item.fields]))
+        raise
+    if not path.endswith(".gz"):  # other files may be read in several parts
+        pieces = pieces.withColumn("i", F.monotonically_increasing_id()).repartition(1).sortWithinPartitions("file_block_start", "i")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner, n, seen = ArrayScanner(key), 0, False
+        for b in batches:
+            seen = True
+            found = list(scanner.feed("".join(x + "}" for x in b.column(0).to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array(range(n, n + len(found)), pa.int32()), pa.array(found, pa.string())], names=["pos", "json"])
+            n += len(found)
+        if seen and scanner.state == "inside":
+            raise ValueError(f"{path}: the document ends inside its array")
+
+    rows = pieces.select("value").mapInArrow(cut, "pos int, json string")
+    return rows.repartition(max(1, spark.sparkContext.defaultParallelism)).select("pos", F.from_json("json", item, {"mode": "FAILFAST"}).alias("x")).select("pos", "x.*")
+
+
+CHUNK_NODE = struct(**strings("id label file_type source_file"))
+CHUNK = struct(nodes=T.ArrayType(CHUNK_NODE), edges=T.ArrayType(struct(**strings("source target relation"))), hyperedges=LIST, input_tokens=L, output_tokens=L)
+
+
+def read_chunks(spark: SparkSession, folder: str, glob: str = "chunk_*.json") -> tuple[DataFrame, DataFrame]:
+    """(chunks, unreadable) of a folder of extracted chunks: chunk (file name) with nodes, edges, hyperedges and tokens; and the names of files that don't parse or have no nodes.
+
+    Plans (``*_plan.json``) are no chunks. A folder without chunks is an error, as merging nothing would look like success.
+    """
+    schema = T.StructType([*CHUNK.fields, T.StructField("_corrupt_record", S)])
+    raw = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", glob).json(folder)
+    rows = raw.withColumn("chunk", F.col("_metadata.file_name")).where(~F.col("chunk").endswith("_plan.json"))
+    if not rows.select("chunk").limit(1).count():
+        raise ValueError(f"{folder}: no chunks")
+    good = F.col("nodes").isNotNull() & F.col("_corrupt_record").isNull()
+    return rows.where(good).drop("_corrupt_record"), rows.where(~good).select("chunk")
+
+
+def chunk_nodes(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk", F.explode("nodes").alias("n")).select("chunk", "n.*")
+
+
+def chunk_edges(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk", F.posexplode("edges").alias("pos", "e")).select("chunk", "pos", "e.*")
 
 
 def read_commits(spark: SparkSession, path: str) -> DataFrame:

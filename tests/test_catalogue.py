@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from estatelens.plans import catalogue, catalogue_more  # noqa: F401
+from estatelens.plans import catalogue, catalogue_graph, catalogue_history, catalogue_more  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -212,3 +212,49 @@ def test_gates(spark):
     assert [r[0] for r in v.select(gates.partitioner_verdict(F.col("r"), F.col("h"))).collect()] == ["unrecorded", "undeterminable", "different", "same"]
     pages = gates.pages_of(spark.createDataFrame([(f"A-{i:03d}",) for i in range(25)], "ticket string"), 10)
     assert Counter(r["page"] for r in pages.collect()) == Counter({0: 10, 1: 10, 2: 5})
+
+
+def test_chunk_plan_kinds(spark):
+    """Code is planned only if asked for; unknown and empty kinds and chunks of no file are refused; absolute paths are reported."""
+    files = spark.createDataFrame([("code", "d/a.py"), ("document", "d/a.md"), ("image", "d/b.png"), ("document", "/abs/c.md")], "kind string, path string")
+    assert sorted(r["path"] for r in gates.chunk_plan(files).collect()) == ["/abs/c.md", "d/a.md", "d/b.png"]
+    assert [r["path"] for r in gates.chunk_plan(files, kinds=("code",)).collect()] == ["d/a.py"]
+    assert [r["path"] for r in gates.absolute_paths(gates.chunk_plan(files)).collect()] == ["/abs/c.md"]
+    only = spark.createDataFrame([("d/a.md",)], "path string")
+    assert [(r["chunk"], r["path"]) for r in gates.chunk_plan(files, only=only).collect()] == [("0001", "d/a.md")]
+    for raw in ("documnet", "", " , "):
+        with pytest.raises(ValueError):
+            gates.requested_kinds(raw)
+    with pytest.raises(ValueError):
+        gates.chunk_plan(files, 0)
+
+
+def test_running_sums_by_range(spark):
+    df = spark.createDataFrame([(i, i % 7) for i in range(200)], "k long, w long").repartition(5)
+    got = {r["k"]: r["s"] for r in graph.with_rank(df, F.col("k"), name="s", weight="w").collect()}
+    assert got == {k: sum(i % 7 for i in range(k)) for k in range(200)}
+
+
+def test_community_labels_from_evidence(spark):
+    nodes = spark.createDataFrame([(f"n{i}", "r" if i % 3 else "q", None if i == 0 else f"L{i}", None, 1 + i % 2, None, i) for i in range(60)], "id string, repo string, label string, source_file string, community long, kind string, pos long")
+    degrees = spark.createDataFrame([("n0", 9), ("n2", 5), ("n3", 7)], "id string, degree long")
+    given = spark.createDataFrame([("1", ""), ("9", "x")], "community string, label string")
+    got = {r["community"]: r["label"] for r in dossier.community_digest(nodes, degrees, given).collect()}
+    assert got == {1: "r: L2", 2: "r: L3"}
+
+
+def test_neighbours_of_ends_that_are_no_nodes(spark):
+    nodes = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "B")], "id string, label string")
+    links = spark.createDataFrame([("a", "b"), ("a", "c"), ("x", "a"), ("b", "a"), ("a", "a")], "source string, target string")
+    got = sorted((r["node"], r["other"], r["degree"], r["rank"]) for r in graph.top_neighbours(nodes, links).collect())
+    assert got == [("a", "b", 2, 1), ("b", "a", 6, 1), ("c", "a", 6, 1), ("x", "a", 6, 1)]
+
+
+def test_gate_codes_and_documents_that_would_be_too_large(spark):
+    from estatelens.operators import status
+    from estatelens.plans import reports
+
+    rows = spark.createDataFrame([("graph", True), ("dive", False)], "mode string, floor_broken boolean")
+    assert status.gate_code(rows.limit(0), rows) == 2 and status.gate_code(rows, rows) == 1 and status.gate_code(rows, rows.where("mode = 'graph'").withColumn("floor_broken", F.lit(False))) == 0
+    with pytest.raises(ValueError, match="too many"):
+        reports.at_most(spark.range(5), 4, "rows")

@@ -168,3 +168,48 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t/v=1")).count() == 4
     batch = spark.createDataFrame([("2024-01-01 00:01:00", "a"), ("2024-01-01 00:09:00", "a")], "t string, k string").withColumn("t", F.to_timestamp("t"))
     assert incremental.windowed(batch, "t", "10 minutes", "1 hour", "k").first()["n"] == 2
+
+
+def test_array_scan_holds_little_and_fails_on_truncation(spark, tmp_path):
+    """Decoys in strings and deeper arrays are passed over; absent documents and arrays are empty; an array without an end is an error."""
+    from estatelens.sources.schemas import L, S, struct
+
+    node = struct(id=L, s=S)
+    doc = {"x": '"nodes": [ {', "y": [{"nodes": [{"id": 99}]}], "nodes": [{"id": i, "s": 'a}"]\\{é'} for i in range(500)], "links": [{"nodes": [{"id": 3}]}]}
+    text = json.dumps(doc, ensure_ascii=False)
+    for name, data in (("g.json", text.encode()), ("g.json.gz", gzip.compress(text.encode())), ("pretty.json", json.dumps(doc, indent=1).encode())):
+        (tmp_path / name).write_bytes(data)
+        rows = readers.read_array(spark, str(tmp_path / name), "nodes", node).orderBy("pos").collect()
+        assert [(r["pos"], r["id"], r["s"]) for r in rows] == [(i, i, 'a}"]\\{é') for i in range(500)]
+    assert readers.read_array(spark, str(tmp_path / "g.json"), "none", node).count() == 0
+    assert readers.read_array(spark, str(tmp_path / "absent.json"), "nodes", node).count() == 0
+    for at in (text.index('"id": 0') + 3, text.index('"id": 400'), text.index("], \"links\"")):
+        (tmp_path / "cut.json").write_text(text[:at])
+        with pytest.raises(Exception, match="ends inside its array"):
+            readers.read_array(spark, str(tmp_path / "cut.json"), "nodes", node).count()
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 10_000])
+def test_array_scanner_in_pieces(size):
+    doc = {"a": [1, {"nodes": [1]}], "nodes": [{"i": i, "m": {"k": [{}, "]"]}} for i in range(30)], "z": "]"}
+    text = json.dumps(doc)
+    scanner = readers.ArrayScanner("nodes")
+    found = [x for i in range(0, len(text), size) for x in scanner.feed(text[i : i + size])]
+    assert [json.loads(x) for x in found] == doc["nodes"] and scanner.state == "done"
+
+
+def test_empty_chunk_folder_is_refused(spark, tmp_path):
+    (tmp_path / "chunk_a_plan.json").write_text("{}")
+    with pytest.raises(ValueError, match="no chunks"):
+        readers.read_chunks(spark, str(tmp_path))
+
+
+def test_settings_from_an_environment():
+    from estatelens.settings import from_environment
+
+    env = {"EL_PAGE_SIZE": "7", "EL_TRACKER_PROJECTS": "AB, CD,", "EL_SENSITIVE_PATTERNS": '{"code": "x+"}', "PAGE_SIZE": "9", "EL_TICKET_BROWSE_URL": "https://t.example"}
+    got = from_environment(env, "EL_")
+    assert (got.page_size, got.tracker_projects, got.ticket_browse_url) == (7, ("AB", "CD"), "https://t.example/") and {"code", "email-address"} <= set(got.sensitive_patterns)
+    for bad in ({"EL_PAGE_SIZE": "x"}, {"EL_NONE": "1"}, {"EL_SENSITIVE_PATTERNS": "[]"}):
+        with pytest.raises(ValueError):
+            from_environment(bad, "EL_")
