@@ -32,7 +32,7 @@ def toxic_corpus(spark, n=900):
 
 
 def test_toxicity_learns_stems_and_holds_out(spark):
-    docs, labels = toxic_corpus(spark)
+    docs, labels = toxic_corpus(spark, 1500)
     model = toxicity.train(docs, labels, toxicity.remainder("doc_id", 5) != 0)
     out = toxicity.score_toxicity(docs, model).join(labels, "doc_id").where(toxicity.remainder("doc_id", 5) == 0).toPandas()
     assert ((out.score >= 0.5).astype(int) == out.toxic).mean() >= 0.97
