@@ -28,7 +28,7 @@ from .common import annotate, table
 #: languages up to which each has a full sample; more languages share the same room.
 SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS, FULL_LANGUAGES = 60_000, 120, 1_000, 256
 #: Characters of a lane, and of the texts that are parsed at a time (a longer text alone).
-LANE, PART = 256, 1 << 21
+LANE, PART = 512, 1 << 21
 UNDETERMINED = "und"
 
 
@@ -67,7 +67,7 @@ class SuffixAutomaton:
         return len(self.next) - 1
 
     def steps(self, size: int) -> tuple[np.ndarray, ...]:
-        """The transitions as arrays: for each state a symbol, what it leads to, and a row of the dense table for all others.
+        """The transitions as two arrays: for each state a symbol, what it leads to, and the place in the dense table for all others; and that table.
 
         An entry is 2 * next state + 1 if a new phrase begins with the symbol. A symbol that can't go on ends the phrase, and is
         taken from the start; one unknown even there is a phrase alone. Most states go on with one symbol only, so that rows
@@ -86,7 +86,7 @@ class SuffixAutomaton:
         for s, n in enumerate(self.next):
             if s and len(n) == 1:
                 only[s], to[s] = next((c, 2 * q) for c, q in n.items())
-        return only, to, row * np.int32(size), dense.ravel()
+        return np.stack([only, to, row * np.int32(size)], 1), dense.ravel()
 
 
 class Alphabet:
@@ -129,10 +129,11 @@ class Parser:
     def __init__(self, sample: str):
         sample = sample.lower()
         self.alphabet = Alphabet({c for c in sample if c.isalpha()})
-        self.only, self.to, self.row, self.dense = SuffixAutomaton(self.alphabet.symbols([sample])[0].tolist()).steps(self.alphabet.size)
+        self.states, self.dense = SuffixAutomaton(self.alphabet.symbols([sample])[0].tolist()).steps(self.alphabet.size)
 
     def after(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return np.where(self.only[state] == c, self.to[state], self.dense[self.row[state] + c])
+        own = self.states.take(state, axis=0)
+        return np.where(own[:, 0] == c, own[:, 1], self.dense.take(own[:, 2] + c))
 
     def phrases(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The phrases of each of the texts, whose symbols follow one another."""

@@ -161,7 +161,7 @@ def test_twenty_languages_in_three_scripts():
         return ("" if k % 3 == 2 else " ").join(own.choice(lexicon) for _ in range(n))
 
     model = language_id.Model({f"l{k:02}": words(k, 20_000, rng)[: language_id.SAMPLE_CHARS] for k in range(20)})
-    size = sum(x.nbytes for p in model.parsers() for x in (p.only, p.to, p.row, p.dense))
+    size = sum(x.nbytes for p in model.parsers() for x in (p.states, p.dense))
     assert size < 500 << 20
     counts, _ = model.phrases([words(k, 60, rng) for k in range(20)])
     assert counts.argmin(0).tolist() == list(range(20))
