@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 BLOCK, EPOCH = 16, 4096
+#: Epochs of a task, about: some hundred thousand slots.
+TASK_EPOCHS = 64
 #: Rows of a bucket, about, in the largest source; buckets are named by the first hexadecimal digits of the rows' hashes.
 BUCKET_ROWS = 4096
 #: Without weights given, a source's is so many times the root of its count, as a whole number.
@@ -173,7 +175,10 @@ def plan(spark: SparkSession, counts: Mapping[str, int], weights: Mapping[str, f
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 4))], names=[x.split()[0] for x in PLAN.split(", ")])
 
     tasks = spark.createDataFrame(table_).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), "epochs")))
-    return tasks.repartition("phase", "epoch").mapInArrow(work, PLAN)
+    n_epochs = sum(r[3] + 1 for r in rows)
+    # by number, as rows this small would otherwise be put together in one task, however long they take
+    n = max(1, min(n_epochs, max(spark.sparkContext.defaultParallelism, n_epochs // TASK_EPOCHS)))
+    return tasks.repartition(n, "phase", "epoch").mapInArrow(work, PLAN)
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", power: float = 0.5) -> DataFrame:
