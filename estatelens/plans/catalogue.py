@@ -215,11 +215,11 @@ def coupling_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.coupling_surface(n, "Brand#1", suffix="t").select("label", "n", F.array_join("repos", ",").alias("repos"))
 
 
-@query(r"""SELECT count(*) AS described, round(sum(CASE WHEN regexp_matches(p_name, '(?i)\bre') THEN 1 ELSE 0 END) / count(*), 6) AS revert_share, round(sum(CASE WHEN regexp_matches(p_name, '(?i)\b(bolt|ring)') THEN 1 ELSE 0 END) / count(*), 6) AS fix_share FROM part""")
+@query("SELECT count(*) AS described, round(count(*) FILTER (WHERE p_partkey % 5 IN (0, 3)) / count(*), 6) AS revert_share, round(count(*) FILTER (WHERE p_partkey % 5 IN (1, 3)) / count(*), 6) AS fix_share FROM part")
 def instability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of descriptions that speak of reverts and fixes; `re` and `bolt`, `ring` stand in for those words."""
-    said = F.regexp_replace(F.regexp_replace("p_name", r"(?i)\bre", "revert-"), r"(?i)\b(bolt|ring)", "fix")
-    out = history.instability(table(spark, sf_dir, "part"), said)
+    """Shares of descriptions that speak of reverts and fixes, among some that only sound so."""
+    said = "CASE p_partkey % 5 WHEN 0 THEN concat('REVERTED ', p_name) WHEN 1 THEN concat('A Hotfix for ', p_name) WHEN 2 THEN 'prefix, debug and irrevertible' WHEN 3 THEN 'bugs: revert' ELSE p_name END"
+    out = history.instability(table(spark, sf_dir, "part"), F.expr(said))
     return out.select("described", F.round("revert_share", 6).alias("revert_share"), F.round("fix_share", 6).alias("fix_share"))
 
 
@@ -308,11 +308,11 @@ def kept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.kept_edges(links(spark, sf_dir), graph.with_rank(own.select("id", "degree", "pos"), F.desc("degree"), F.col("pos")))
 
 
-@query("SELECT o_orderpriority AS layer, count(*) AS nodes, CAST(count(*) FILTER (WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)) AS BIGINT) AS joined, count(*) FILTER (WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)) = 0 AS dead FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority AS layer, count(*) AS nodes, CAST(count(*) FILTER (WHERE o_orderkey % 2 = o_orderkey % 3 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS BIGINT) AS joined, count(*) FILTER (WHERE o_orderkey % 2 = o_orderkey % 3 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)) = 0 AS dead FROM orders GROUP BY 1")
 def join_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each layer the index knows."""
-    n = table(spark, sf_dir, "orders").select(F.lit("r").alias("repo"), F.col("o_orderkey").cast("string").alias("source_file"), F.col("o_orderpriority").alias("_origin"))
-    ix = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.lit("r").alias("repo"), F.col("l_orderkey").cast("string").alias("path"))
+    """How much of each layer the index knows, by repository and file."""
+    n = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 2).cast("string").alias("repo"), F.col("o_orderkey").cast("string").alias("source_file"), F.col("o_orderpriority").alias("_origin"))
+    ix = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 3).cast("string").alias("repo"), F.col("l_orderkey").cast("string").alias("path"))
     return gates.join_cardinality(n, ix)
 
 

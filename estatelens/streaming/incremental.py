@@ -25,12 +25,20 @@ def file_ticket_counts(commits: DataFrame) -> DataFrame:
 
 
 def upserting(stream: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], table: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Folds each batch of a stream into a Parquet table by ``merge(table, batch)``; batches are written to numbered folders, so one that is done again is the same."""
+    """Folds each batch of a stream into a Parquet table by ``merge(table, batch)``.
+
+    Each batch's table goes to a numbered folder, made from the one before, so a batch that is done again gives the same; the
+    folder before that is deleted, so there are two at most. The table is what the batches amount to (a cache, counts), not
+    the stream: a table that grows with the stream belongs in a format that merges in place.
+    """
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{table}/v={number - 1}") if number else spark.createDataFrame([], batch.schema)
         merge(before, batch).write.mode("overwrite").parquet(f"{table}/v={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(fold).trigger(availableNow=True).start()
 
