@@ -51,11 +51,11 @@ def repeated_words(words: str, hashes: str) -> str:
     return f"if(size(array_distinct({hashes})) = size({hashes}), 0L, {let('s', listed, let('s', twins, covered))})"
 
 
-def again(text: str) -> str:
+def again(lines: str) -> str:
     """The numbers of the lines that equal an earlier one, as the keys of a map; null if no two lines are equal."""
-    lines = f"transform(split({text}, '\\n', -1), (x, i) -> named_struct('x', x, 'i', i))"
     later = "transform(filter(s, (e, k) -> k > 0 AND get(s, k - 1).x = e.x), e -> named_struct('k', e.i, 'v', true))"
-    return f"if(size(array_distinct(split({text}, '\\n', -1))) = size(split({text}, '\\n', -1)), NULL, map_from_entries({let('s', f'sort_array({lines})', later)}))"
+    listed = f"sort_array(transform({lines}, (x, i) -> named_struct('x', x, 'i', i)))"
+    return f"if(size(array_distinct({lines})) = size({lines}), NULL, map_from_entries({let('s', listed, later)}))"
 
 
 def line_verdict(line: str, repeated: str, phrased: str, symbols: str) -> str:
@@ -74,11 +74,11 @@ def quality(docs: DataFrame, text_col: str = "text", clean_col: str | None = Non
     text = f"coalesce(`{text_col}`, '')"
     # lower() of other letters may only add matches, and each line is looked at again
     phrased = " OR ".join(f"contains(t, '{x}')" for x in BOILERPLATE.split("|"))
-    df = df.withColumns({"__quality_w": F.expr(f"regexp_extract_all({text}, {q(WORD)}, 0)"), "__quality_y": F.expr(f"CAST(regexp_count({text}, '[#*$%&|<>]') AS BIGINT)")})
+    df = df.withColumns({"__quality_w": F.expr(f"regexp_extract_all({text}, {q(WORD)}, 0)"), "__quality_l": F.expr(f"split({text}, '\\n', -1)"), "__quality_y": F.expr(f"CAST(regexp_count({text}, '[#*$%&|<>]') AS BIGINT)")})
     windows = "slice(transform(__quality_w, (x, i) -> xxhash64(x, get(__quality_w, i + 1), get(__quality_w, i + 2))), 1, greatest(size(__quality_w) - 2, 0))"
-    df = df.withColumns({"__quality_h": F.expr(windows), "__quality_again": F.expr(again(text)), "__quality_p": F.expr(let("t", f"lower({text})", phrased))})
+    df = df.withColumns({"__quality_h": F.expr(windows), "__quality_again": F.expr(again("__quality_l")), "__quality_p": F.expr(let("t", f"lower({text})", phrased))})
     verdict = line_verdict("x", "coalesce(__quality_again[i], false)", "__quality_p", "__quality_y >= 3")
-    df = df.withColumn("__quality_lines", F.expr(f"transform(split({text}, '\\n', -1), (x, i) -> {verdict})"))
+    df = df.withColumn("__quality_lines", F.expr(f"transform(__quality_l, (x, i) -> {verdict})"))
     df = df.withColumns(
         {
             "n_words": F.expr("CAST(size(__quality_w) AS BIGINT)"),
@@ -91,8 +91,8 @@ def quality(docs: DataFrame, text_col: str = "text", clean_col: str | None = Non
         }
     )
     if clean_col:
-        df = df.withColumn(clean_col, F.expr(f"array_join(filter(split({text}, '\\n', -1), (x, i) -> NOT __quality_lines[i].bad), '\\n')"))
-    df = df.drop("__quality_w", "__quality_y", "__quality_h", "__quality_again", "__quality_p", "__quality_lines")
+        df = df.withColumn(clean_col, F.expr("array_join(filter(__quality_l, (x, i) -> NOT __quality_lines[i].bad), '\\n')"))
+    df = df.drop("__quality_w", "__quality_l", "__quality_y", "__quality_h", "__quality_again", "__quality_p", "__quality_lines")
     df = df.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words"))
     return df.withColumn("kept", F.expr(f"NOT base_failed AND n_kept_words > {LEAST_KEPT} * n_words"))
 

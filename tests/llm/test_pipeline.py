@@ -105,3 +105,21 @@ def test_columns_that_clash(spark, docs):
         kept = [c for c in CLASHES if c in out.columns and c not in ("spans", "pii", "licenses", "lang_pred")]
         assert all(r[c] == f"x{c}" for r in rows for c in kept), name
         assert len(kept) >= len(CLASHES) - 8, name
+
+
+def test_pipeline_of_empty_tables_nulls_and_other_columns(spark, tmp_path):
+    """No rows give no rows; nulls, repeated ids and columns of results' names crash nothing, and only the columns of documents go on."""
+    from pyspark.sql import functions as F
+
+    for name, rows in (("none", []), ("odd", [(None, None, None, None, None), (1, None, "en", None, 0), (1, "", None, "s", None), (1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5)])):
+        d = f"{tmp_path}/{name}"
+        docs = spark.createDataFrame(rows, SCHEMA).withColumns({"score": F.lit("x"), "FP": F.lit(1), "position": F.lit(2)})
+        docs.write.parquet(d + "/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(d + "/benchmark.parquet")
+        spark.createDataFrame([(None, None, None), (1, 1, None)], "doc_id long, quality int, toxic int").write.parquet(d + "/labels.parquet")
+        out = corpus_pipeline.run(spark, d)
+        assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and "FP" not in out.columns
+        got = out.collect()
+        assert sorted(r["position"] for r in got) == list(range(len(got)))
+        # the row without an id stays, and of id 1, which is the least of each of its groups, every row
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r[0], r[1] or "") for r in rows)

@@ -294,3 +294,8 @@ def test_ibans_beside_other_capitals():
     ]
     for text, want in cases:
         assert [text[a:b] for a, b in pii.ibans(text)] == want, text
+
+
+def test_pii_of_an_empty_table(spark, empty):
+    clash = empty.withColumn("PII", F.lit(1))
+    assert pii.find_pii(clash, redact_at=0.5).count() == 0 and pii.find_pii(clash).columns.count("pii") == 1
