@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from ..operators import dossier, gates, graph, history, layers, resolve, retrieval, semantic, status
 from ..operators.shared import new_folder
-from ..settings import STEP_LANGUAGES
-from ..sources import discovery, parsers, readers, sinks
+from ..settings import DEFAULTS, STEP_LANGUAGES
+from ..sources import discovery, parsers, readers, sinks, sync, tracker
 from ..sources.schemas import L, S, struct
 from . import reports
 from .catalogue import BFS_SQL, DEGREE_SQL, query
-from .catalogue_more import made
+from .catalogue_more import LOG_SQL, made
 from .standins import ENTRIES_SQL, INDEX_SQL, LINKS_SQL, NODES_SQL, entries, index, links, nodes, table
 
 
@@ -562,3 +562,66 @@ def listing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     if len(asked) != 1 or "--paginate" not in asked[0]:
         raise ValueError("one paginated call expected")
     return discovery.config_lines(found, "o").select("name", (F.col("name") == "NATION_3").cast("int").alias("archived"), "line")
+
+
+@query("SELECT 'estate' AS scope, n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN 'old' ELSE 'sha-' || n_name END AS sha, n_nationkey % 5 = 0 AS sync_failed FROM nation WHERE n_nationkey % 10 <> 5")
+def synced_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories brought up to date by an injected runner; one that fails keeps its old record, if it has one."""
+    rows = table(spark, sf_dir, "nation").select("n_name", "n_nationkey").collect()
+    failing = {r["n_name"] for r in rows if r["n_nationkey"] % 5 == 0}
+    known = made(spark, sf_dir, "nation", "'estate' AS scope ;; n_name AS name ;; 'old' AS sha ;; 'main' AS branch ;; '2024' AS committed ;; n_nationkey").where("n_nationkey % 10 <> 5").drop("n_nationkey")
+
+    def runner(args: list[str]) -> str:
+        name = (args[1] if args[0] == "-C" else args[-1]).rsplit("/", 1)[-1]
+        if name in failing and "fetch" in args:
+            raise RuntimeError("no remote")
+        return f"sha-{name}\n" if "rev-parse" in args else "2025-01-01T00:00:00Z\n"
+
+    out, failures = sync.sync(spark, [("estate", r["n_name"], "u", "main") for r in rows], "/clones", known, runner, lambda path: False)
+    if len(failures) != len(failing):
+        raise ValueError("a failure per failing repository expected")
+    return out.select("scope", "name", "sha", "sync_failed")
+
+
+@query("SELECT o_orderkey AS repository, 1 AS n, 1 AS pages, CAST(substr(CAST(o_orderdate AS VARCHAR), 1, 4) AS INT) AS year FROM orders")
+def exported_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories written as NDJSON and Markdown by year, and read again."""
+    folder = new_folder(spark)
+    logs = made(spark, sf_dir, "orders", f"concat('r', o_orderkey) AS repository ;; '' AS repository_url ;; {LOG_SQL} AS log").withColumn("repository", F.concat(F.lit("h"), F.substring("repository", 2, 30).cast("long") % 7))
+    counts = sync.export_history(logs, folder)
+    commits = readers.read_commits(spark, f"{folder}/commits/*")
+    pages = spark.read.text(f"{folder}/history", wholetext=False).where("value LIKE '## %'").select(F.regexp_extract("value", "^## ([0-9]+)", 1).alias("short"), "year")
+    if counts.agg(F.sum("n")).first()[0] != commits.count() or pages.count() != commits.count():
+        raise ValueError("as many commits and sections as records expected")
+    own = commits.select(F.col("sha").cast("long").alias("repository"), F.substring("author_date", 1, 4).cast("int").alias("year"))
+    return own.groupBy("repository", "year").agg(F.count("*").cast("int").alias("n")).withColumn("pages", F.col("n")).select("repository", "n", "pages", "year")
+
+
+@query("SELECT p_partkey AS k, 'Totals of ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN '.' ELSE '' END || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '' END || chr(10) || '<!-- note -->' || chr(10) || 'now ' || p_size AS report FROM part")
+def replaced_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note behind a marker, replaced where there is one."""
+    rows = made(spark, sf_dir, "part", "p_partkey AS k ;; if(p_partkey % 2 = 0, concat('Totals of ', p_name, '.\\n\\n\\n<!-- note -->\\nbefore ', p_size, '\\n'), concat('Totals of ', p_name, '\\n')) AS report ;; concat('now ', p_size) AS note")
+    once = rows.withColumn("report", sync.with_note(F.col("report"), "<!-- note -->", F.col("note")))
+    return once.select("k", sync.with_note(F.col("report"), "<!-- note -->", F.col("note")).alias("report"))
+
+
+@query("SELECT p_partkey AS k, p_partkey % 3 <> 2 AS declared, CASE p_partkey % 3 WHEN 0 THEN 'https://i.example/' || p_partkey END AS url FROM part")
+def package_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Package indexes that lists of requirements name."""
+    rows = made(spark, sf_dir, "part", "p_partkey AS k ;; CASE p_partkey % 3 WHEN 0 THEN concat('a==1\\n  --index-url https://i.example/', p_partkey, ' \\nb') WHEN 1 THEN '--index-url\\na' ELSE '# --index-url x\\na --index-url y' END AS c")
+    return rows.select("k", sync.declares_index(F.col("c")).alias("declared"), sync.index_url(F.col("c")).alias("url"))
+
+
+@query("SELECT 'P' || (o_custkey % 9) AS prefix, count(*) AS n FROM orders WHERE o_custkey % 9 > 3 GROUP BY 1")
+def undecided_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes that nobody has decided about; addresses with credentials are refused without being repeated."""
+    keys = table(spark, sf_dir, "orders").select(F.concat(F.lit("P"), F.col("o_custkey") % 9, F.lit("-"), "o_orderkey").alias("ticket"))
+    for bad in ("https://user:secret@t.example", "ftp://t.example", "t.example"):
+        try:
+            tracker.api_root(bad)
+        except ValueError as e:
+            if "secret" in str(e):
+                raise
+        else:
+            raise ValueError("address accepted")
+    return tracker.undecided(keys, DEFAULTS.with_overrides({"tracker_projects": ("P0", "P1"), "tracker_deny": ("P2", "P3")}))

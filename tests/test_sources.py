@@ -213,3 +213,35 @@ def test_settings_from_an_environment():
     for bad in ({"EL_PAGE_SIZE": "x"}, {"EL_NONE": "1"}, {"EL_SENSITIVE_PATTERNS": "[]"}):
         with pytest.raises(ValueError):
             from_environment(bad, "EL_")
+
+
+def test_sync_keeps_records_and_goes_on(spark):
+    """Clones what is absent, fails one repository without the others, and hands on provenance after each."""
+    from estatelens.sources import sync
+
+    asked, kept = [], []
+
+    def runner(args):
+        asked.append(args)
+        if "show-ref" in args and args[1].endswith("/b"):
+            raise RuntimeError("no branch")
+        return "abc\n" if "rev-parse" in args else ""
+
+    known = spark.createDataFrame([("estate", "b", "old", "main", "2024", False)], sync.PROVENANCE)
+    repos = [("estate", "a", "u/a", "main"), ("estate", "b", "u/b", "main"), ("external", "c", "u/c", "dev")]
+    out, failures = sync.sync(spark, repos, "/x/", known, runner, lambda path: path == "/x/a/.git", lambda df: kept.append(df.count()))
+    assert [f[0] for f in failures] == ["b"] and kept == [2, 2, 3]
+    assert {(r["scope"], r["name"], r["sha"], r["sync_failed"]) for r in out.collect()} == {("estate", "a", "abc", False), ("estate", "b", "old", True), ("external", "c", "abc", False)}
+    assert sum(a[0] == "clone" for a in asked) == 2
+
+
+def test_semantic_index_by_a_model(spark):
+    import numpy as np
+
+    from estatelens.operators import semantic
+
+    texts = spark.createDataFrame([("alpha beta gamma",), ("alpha beta gamma",), ("alpha beta gamma",)], "text string")
+    got = {(r["token"], r["other"]) for r in semantic.semantic_index(texts, lambda words: np.array([[1.0, w == "gamma"] for w in words])).collect()}
+    assert got == {("alpha", "beta"), ("beta", "alpha"), ("gamma", "alpha"), ("gamma", "beta"), ("alpha", "gamma"), ("beta", "gamma")}
+    with pytest.raises(ValueError, match="at most"):
+        semantic.knn(semantic.embedded(semantic.vocabulary(texts), lambda words: np.ones((len(words), 2))), "token", "vector", most=2)
