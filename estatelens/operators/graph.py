@@ -104,21 +104,20 @@ def kept_edges(links: DataFrame, kept: DataFrame, rank: str = "eid") -> DataFram
 def top_neighbours(nodes: DataFrame, links: DataFrame, k: int = 5) -> DataFrame:
     """Each node's ``k`` neighbours of different labels: degree descending, id ascending, a label's first only.
 
-    Nodes are numbered in that order once, so that pairs, the first of a label and the rank are of longs, aggregated by hash.
+    All ends of links are numbered in that order once, so that pairs, the first of a label and the rank are of longs,
+    aggregated by hash. An end that is no node has neighbours, and is none itself.
     """
-    known = with_rank(nodes.select("id", "label").join(degree(links), "id"), F.desc("degree"), F.asc("id"), name="at")
+    known = with_rank(degree(links).join(nodes.select("id", "label"), "id", "left"), F.desc("degree"), F.asc("id"), name="at")
     numbers = known.select("id", "at")
-    ends = links.select("source", "target").distinct().join(numbers.toDF("source", "a"), "source", "left").join(numbers.toDF("target", "b"), "target", "left")
-    lonely = ends.where("a IS NULL OR b IS NULL")  # an end that is no node still has neighbours, by its id
-    pairs = ends.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
-    shown = known.where("label <> ''").select(F.col("at").alias("other"), F.col("label").alias("other_label"), "degree", F.col("id").alias("other_id"))
-    near = pairs.distinct().join(shown.select("other", "other_label"), "other")
-    by_id = lonely.where("a IS NULL AND b IS NOT NULL").select(F.col("source").alias("id"), F.col("b").alias("other")).unionByName(lonely.where("b IS NULL AND a IS NOT NULL").select(F.col("target").alias("id"), F.col("a").alias("other")))
+    ends = links.select("source", "target").join(numbers.toDF("source", "a"), "source").join(numbers.toDF("target", "b"), "target")
+    one = ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
+    labels = known.where("label <> ''").select(F.col("at").alias("other"), F.col("label").alias("other_label"))
     # one row a label with map-side combine, then the rank over what is left
-    first = near.groupBy("node", "other_label").agg(F.min("other").alias("other")).join(numbers.toDF("id", "node"), "node").select("id", "other_label", "other")
-    first = first.unionByName(by_id.distinct().join(shown.select("other", "other_label"), "other").groupBy("id", "other_label").agg(F.min("other").alias("other")))
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("other"))).where(F.col("rank") <= k)
-    return ranked.join(shown.drop("other_label"), "other").select(F.col("id").alias("node"), "other_label", "degree", F.col("other_id").alias("other"), "rank")
+    first = one.select(both.alias("e")).select("e.*").join(labels, "other").groupBy("node", "other_label").agg(F.min("other").alias("other"))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("other"))).where(F.col("rank") <= k)
+    named = ranked.join(numbers.toDF("_node", "node"), "node").join(known.select(F.col("at").alias("other"), "degree", F.col("id").alias("_other")), "other")
+    return named.select(F.col("_node").alias("node"), "other_label", "degree", F.col("_other").alias("other"), "rank")
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, hops: int, cap: int | None = None) -> DataFrame:
