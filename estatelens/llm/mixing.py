@@ -195,7 +195,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     own = F.md5(F.concat_ws("\n", *(F.col(f"`{c}`").cast("string") for c in (id_col, source_col, *others))))
     by_source = rows.groupBy("__mix_source").agg(F.count("*").alias("n")).collect()  # a row a source
     counts = {r["__mix_source"]: r["n"] for r in by_source}
-    digits = max(1, math.ceil(math.log(max(counts.values(), default=1) / BUCKET_ROWS, 16)) + 1) if counts else 1
+    digits = max(1, math.ceil(math.log(max(counts.values()) / BUCKET_ROWS, 16))) if counts else 1
     rows = rows.withColumn("__mix_hash", own).withColumn("__mix_bucket", F.substring("__mix_hash", 1, digits))
     if weights is None:
         named = {k: max(1, int(SCALE * (math.sqrt(n) if power == 0.5 else n**power))) for k, n in counts.items()}
