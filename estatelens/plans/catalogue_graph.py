@@ -625,3 +625,38 @@ def undecided_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         else:
             raise ValueError("address accepted")
     return tracker.undecided(keys, DEFAULTS.with_overrides({"tracker_projects": ("P0", "P1"), "tracker_deny": ("P2", "P3")}))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page that holds rows as JSON, and those rows read out of it."""
+    html = reports.page("t", {"nations": table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name")), "none": spark.range(0)})
+    blocks = readers.json_blocks(spark.createDataFrame([(html,)], "html string")).where("block_id = 'nations'")
+    return blocks.select(F.explode(F.from_json("json", "array<struct<n_nationkey:int,n_name:string>>")).alias("r")).select("r.*")
+
+
+@query(
+    """
+SELECT '| `r' || k || '` | ' || n || ' | ' || CASE WHEN k < 3 THEN '2024-05-06 (`abcdef01`)' ELSE '—' END || ' | `u' || k || '` |' AS line
+FROM (SELECT o_custkey % 5 AS k, count(*) AS n FROM orders GROUP BY 1) UNION ALL SELECT 'These ' || count(DISTINCT o_custkey % 5) || ' repositories were read, and no others: what is missing here was never looked at.' FROM orders"""
+)
+def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: the manifest's rows, and how many repositories it speaks of."""
+    commits = made(spark, sf_dir, "orders", "concat('r', o_custkey % 5) AS repository ;; concat('u', o_custkey % 5) AS repository_url ;; o_orderkey AS pos")
+    known = spark.createDataFrame([(f"r{i}", "abcdef0123", "2024-05-06T07:08:09Z") for i in range(3)], "name string, sha string, committed string")
+    lines = [x for x in reports.manifest(commits, known) if x.startswith(("| `", "These"))]
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+@query("SELECT * FROM (VALUES ('What is AB-7?', 'ticket', 'ticket'), ('zzzzqq qqzz', 'abstain', 'abstain'), ('which repositories have red', 'which_repos', 'tickets,graph'), ('why red', 'why', 'tickets,graph'), ('walk me through red', 'cluster', 'tickets,graph'), ('red and zzzzqq', 'cluster', 'tickets,graph')) v(question, view, modes)")
+def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions answered: by a ticket, by saying that nothing is known, or by the view they ask for; a journey without features is a cluster."""
+    own = entries(spark, sf_dir).withColumns({"tickets": F.array(F.concat(F.lit("AB-"), "eid")), "degree": F.col("eid") % 9})
+    links_ = own.select(F.col("eid").alias("node"), (F.col("eid") + 1).alias("other"))
+    edges = links_.unionByName(links_.toDF("other", "node"))
+    tickets = table(spark, sf_dir, "part").select(F.concat(F.lit("AB-"), "p_partkey").alias("id"), F.lower("p_name").alias("hay"))
+    out = []
+    for q in ("What is AB-7?", "zzzzqq qqzz", "which repositories have red", "why red", "walk me through red", "red and zzzzqq"):
+        answer = retrieval.ask(q, own, edges, tickets)
+        out.append((q, answer.view, ",".join(retrieval.mode_of(answer))))
+    return spark.createDataFrame(out, "question string, view string, modes string")
