@@ -102,13 +102,16 @@ def node_identifiers(label: Column, source: Column) -> Column:
 
 
 def ungrounded(prose: DataFrame, evidence: DataFrame, key: str = "community", estate: DataFrame | None = None) -> DataFrame:
-    """(key, identifier) that the prose (key, text) claims and neither its own evidence (key, identifier) nor, where given, the estate's (identifier) holds."""
+    """(key, identifier) that the prose (key, text) claims and neither its own evidence (key, identifier) nor, where given, the estate's (identifier) holds.
+
+    Spellings are many times the rows that Spark estimates from the evidence's files, so they are never broadcast.
+    """
     claims = prose.select(key, F.explode(prose_identifiers(F.col("text"))).alias("identifier")).withColumn("norm", normalised(F.col("identifier"))).where("norm <> ''")
     own = evidence.select(key, F.explode(spellings(F.col("identifier"))).alias("s")).select(key, normalised(F.col("s")).alias("norm")).distinct()
-    out = claims.join(own, [key, "norm"], "left_anti")
+    out = claims.join(own.hint("merge"), [key, "norm"], "left_anti")
     if estate is not None:
         wide = estate.select(F.explode(spellings(F.col("identifier"))).alias("s")).select(normalised(F.col("s")).alias("norm")).distinct()
-        out = out.join(wide, "norm", "left_anti")
+        out = out.join(wide.hint("merge"), "norm", "left_anti")
     return out.select(key, "identifier")
 
 

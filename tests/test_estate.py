@@ -258,3 +258,13 @@ def test_gate_codes_and_documents_that_would_be_too_large(spark):
     assert status.gate_code(rows.limit(0), rows) == 2 and status.gate_code(rows, rows) == 1 and status.gate_code(rows, rows.where("mode = 'graph'").withColumn("floor_broken", F.lit(False))) == 0
     with pytest.raises(ValueError, match="too many"):
         reports.at_most(spark.range(5), 4, "rows")
+
+
+def test_grounding_never_broadcasts_spellings(spark, tmp_path):
+    """Of a small file Spark's estimate is far below what its spellings take, so they must not go through the driver."""
+    folder = str(tmp_path / "e")
+    spark.range(50).select(F.col("id").alias("community"), F.concat(F.lit("foo_"), "id", F.lit(".py")).alias("identifier"), F.concat(F.lit("foo_"), F.col("id") % 10, F.lit(" bar_x")).alias("text")).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    out = dossier.ungrounded(rows.select("community", "text"), rows.select("community", "identifier"), estate=rows.where("community < 5").select("identifier"))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert Counter(r["identifier"] for r in out.collect()) == Counter({"bar_x": 50} | {f"foo_{i}": 4 for i in range(5, 10)})
