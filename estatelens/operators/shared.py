@@ -27,12 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _remove() -> None:
     spark = SparkSession.getActiveSession()
     with contextlib.suppress(Py4JError, OSError):  # the session may be gone with its store
         while spark is not None and _written:
-            path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, _written.pop())
 
 
 @cache
@@ -53,3 +57,10 @@ def durable(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``durable`` wrote for ``df``, which nothing that is still to run may read."""
+    for folder in [f for f in _written if any(f"/{f.rsplit('/', 1)[-1]}/" in x for x in df.inputFiles())]:
+        _delete(df.sparkSession, folder)
+        _written.remove(folder)

@@ -127,3 +127,29 @@ def test_match_and_route(spark):
     q = spark.createDataFrame([(1, "Walk me through it"), (2, "which app does it"), (3, "who calls this"), (4, "what breaks"), (5, "why so"), (6, "tell me")], "i int, t string")
     assert [r[0] for r in q.orderBy("i").select(retrieval.route(F.col("t"))).collect()] == ["journey", "which_repos", "where_used", "impact", "why", "cluster"]
     assert graph.precision_bands(spark.createDataFrame([(0.9,), (0.5,), (0.1,)], "precision double")).count() == 3
+
+
+def test_knn_of_many_copies_and_numbers(spark, monkeypatch):
+    """No number of vectors is too large by itself; equal vectors are ties, which go by key as numbers do, in several passes too."""
+    monkeypatch.setattr(semantic, "BLOCK", 7)
+    rng = np.random.default_rng(2)
+    v = np.concatenate([np.repeat(rng.normal(size=(1, 6)), 40, 0), rng.normal(size=(30, 6))]).astype(np.float32)
+    keys = [int(x) for x in rng.permutation(len(v))]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in zip(keys, v)] + [(500, None), (501, [0.0] * 6)], "id long, v array<float>")
+    monkeypatch.setattr(semantic, "MAX_VOCABULARY", 10)
+    got = {}
+    for r in semantic.knn(df, "id", "v", least=0.3, skip_stems=False).orderBy("token", "rank").collect():
+        got.setdefault(int(r["token"]), []).append(int(r["other"]))
+    u = semantic.unit(v)
+    s = np.cumsum(u[:, None, :] * u[None, :, :], axis=2)[:, :, -1]
+    for i, x in enumerate(keys):
+        order = sorted((j for j in range(len(v)) if j != i and s[i, j] >= 0.3), key=lambda j: (-s[i, j], keys[j]))
+        assert got.get(x, []) == [keys[j] for j in order[:6]]
+    assert 500 not in got and 501 not in got
+
+
+def test_knn_of_more_vectors_than_a_vocabulary(spark):
+    """More than 15,000 vectors were an error."""
+    df = spark.range(semantic.MAX_VOCABULARY + 1).selectExpr("id", "array(cast(id % 100 + 1 as float), 1f) AS v")
+    out = semantic.knn(df, "id", "v", skip_stems=False)
+    assert out.count() == 6 * (semantic.MAX_VOCABULARY + 1)
