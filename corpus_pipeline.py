@@ -29,7 +29,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, by 5-word shingles of similarity 0.8, the document of the smallest id stays."""
+    """Of each group of near copies the document of the smallest id stays.
+
+    SimHash fingerprints and their vantage-point trees find links first; all links are of 5-word shingle sets of similarity 0.8,
+    and those between fingerprints further apart come from shared minima.
+    """
     return similar_dedup(docs).select(*DOCUMENT_COLUMNS)
 
 

@@ -42,6 +42,14 @@ SAMPLE = MOST_SHARDS * SAMPLE_PER_SHARD
 LEAF, BLOCK = 1 << 19, 1 << 22
 
 
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is set if it is in over half of them."""
+    set_ = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 14):
+        set_ += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(set_ * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes | None, k: int = SHINGLE, seed: int = SEED) -> int:
     """The fingerprint, unsigned. bytes.lower and bytes.split know ASCII only, and so exactly A-Z and [\\x20\\x09-\\x0D]."""
     words = text.lower().split() if text else []
@@ -53,10 +61,7 @@ def fingerprint(text: bytes | None, k: int = SHINGLE, seed: int = SEED) -> int:
     ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
     starts = [0, *(x + 1 for x in ends[:-k])]
     h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :])], "<u8")
-    set_ = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 14):
-        set_ += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(set_ * 2 > len(h), bitorder="little").view("<u8")[0])
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp", drop: tuple[str, ...] = ()) -> DataFrame:

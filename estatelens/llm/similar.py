@@ -1,19 +1,20 @@
 """Near-dedup by resemblance: texts whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
 
-1. One Arrow pass gives each text a digest of its shingle set (XXH64, as in ``simhash``) and its minima under ``BANDS * ROWS``
-   permutations, hashed to a value a band. Texts of equal digests are one point afterwards.
-2. Points that share a band are candidates: at similarity s a pair shares none with probability (1 - s ** ROWS) ** BANDS,
-   0.000007 at 0.8 and less above. Each band's vantage is its point that shares bands with the most others. All points of a
-   band are compared with the vantage, by their sets, and keep what they differ in from it. That joins most of a group.
-3. Other pairs of a band come from these differences alone. With sets a, b that differ from the vantage h in A and B, the
+1. One Arrow pass gives each text a digest of its shingle set (XXH64, as in ``simhash``), the set's SimHash fingerprint, and
+   its minima under ``BANDS * ROWS`` permutations, hashed to a value a band. Texts of equal digests are one point afterwards.
+2. The vantage-point trees of ``simhash`` find the fingerprints within ``MAX_BITS`` of one another. Their links are checked by
+   the exact similarity of the sets; those that hold make the first components.
+3. What is similar lies further apart in most pairs: at 0.8 about 9 of 64 bits, and up to 18, where a tree prunes nothing. So
+   points that share a band are candidates as well, but for bands whose points are all in one component by now. At similarity
+   s a pair shares no band with probability (1 - s ** ROWS) ** BANDS, 0.000007 at 0.8 and less above. Each band's vantage is its
+   point that shares bands with the most others. All points of a band are compared with the vantage, by their sets, and keep
+   what they differ in from it. That joins most of a group.
+4. Other pairs of a band come from these differences alone. With sets a, b that differ from the vantage h in A and B, the
    similarity depends on sizes and on how much A and B have in common. If not both are similar to h, they must have about
    half of the smaller in common, and so, with A and B in one order, one of the first elements (new ones come first, as they
    are rare). So of a group of copies that are each edited on their own few pairs are looked at, not all. Of a pair in one
    component the similarity doesn't matter. Candidates are checked by the exact similarity of their sets.
-4. Connected components give each document the smallest id that its links reach.
-
-SimHash distances can't do this: pairs of similarity 0.8 differ in about 9 of 64 bits, and in up to 18, where a vantage-point
-tree prunes nothing.
+5. Connected components give each document the smallest id that its links reach.
 
 Edge cases: texts that are null or have no word have the same, empty set. Fewer than five words are one shingle. Texts are
 processed whole, however long. Ids, repeated rows, empty tables and other columns are as in ``simhash.near_dedup``.
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
+from . import simhash
 from .common import annotate, byte_texts, components, cut, only, without
-from .simhash import SEED
+from .simhash import MAX_BITS, SEED, majority
 
 SHINGLE = 5
 #: The least similarity, as a fraction; two sets that differ in d of s elements in all have it if MORE * d <= LESS * s.
@@ -74,17 +76,18 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with digest and bands instead of the text."""
+    """``docs`` with digest, fingerprint and bands instead of the text."""
 
     def make():
         def work(col: pa.Array) -> list[pa.Array]:
             sets = [shingles(t) for t in byte_texts(col)]
             flat = np.concatenate([bands(s) for s in sets]).view(np.int64)
-            return [pa.array(np.array([digest(s) for s in sets], np.uint64).view(np.int64)), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, np.int32), pa.array(flat))]
+            digests, fps = (pa.array(np.array([f(s) for s in sets], np.uint64).view(np.int64)) for f in (digest, majority))
+            return [digests, fps, pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, np.int32), pa.array(flat))]
 
         return work
 
-    return annotate(docs, [text_col], make, [T.StructField("digest", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))], drop=(text_col,))
+    return annotate(docs, [text_col], make, [T.StructField("digest", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))], drop=(text_col,))
 
 
 def shingle_sets(docs: DataFrame, text_col: str) -> DataFrame:
@@ -165,19 +168,39 @@ def met(seen: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.select(F.least("l_point", "point").alias("a"), F.greatest("l_point", "point").alias("b")).distinct()
 
 
+def sets_of(points: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(digest, shingles) of the digests in ``points``."""
+    within = points.select("digest").distinct().join(reps.select("digest", "own"), "digest").select("own").distinct()
+    texts = docs.join(within, "own", "left_semi").select("text")
+    return cut(shingle_sets(texts, "text").groupBy("digest").agg(F.first("shingles").alias("shingles")))
+
+
+def by_fingerprint(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Components (node, root) of the digests whose fingerprints are linked by the vantage-point trees, and whose sets are similar."""
+    firsts = cut(reps.groupBy("fp").agg(F.min("digest").alias("first")))
+    same = reps.join(firsts, "fp").where("digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"))
+    forest = cut(simhash.links(firsts.select("fp"), MAX_BITS).distinct())
+    ends = [firsts.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab"]
+    apart = forest.join(ends[0], "a").join(ends[1], "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    pairs = cut(same.union(apart).distinct())
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("digest")), reps, docs)
+    return cut(components(cut(similar(pairs, sets))))
+
+
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Components (node, root) of the digests in ``reps`` (digest, own, bands) that have links; ``docs`` has the texts by own."""
-    dealt = cut(reps.select("digest", F.explode("bands").alias("band")))
-    counts = dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(dealt.join(counts, "band"))
+    """Components (node, root) of the digests in ``reps`` (digest, own, fp, bands) that have links; ``docs`` has the texts by own."""
+    first = by_fingerprint(reps, docs)
+    rooted = reps.select("digest", "bands").join(first.withColumnRenamed("node", "digest"), "digest", "left")
+    dealt = cut(rooted.select("digest", F.coalesce("root", "digest").alias("root"), F.explode("bands").alias("band")))
+    counts = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "n")
+    shared = cut(dealt.select("digest", "band").join(counts, "band"))
     known = shared.groupBy("digest").agg(F.sum("n").alias("known"))
     hubs = shared.join(known, "digest").groupBy("band").agg(F.max(F.struct("known", "digest")).alias("best")).select("band", F.col("best.digest").alias("hub"))
     stars = shared.join(hubs, "band").where("digest <> hub").select("hub", F.col("digest").alias("point")).distinct()
-    within = known.select("digest").join(reps.select("digest", "own"), "digest").select("own").distinct()
-    texts = docs.join(within, "own", "left_semi").select("text")
-    sets = cut(shingle_sets(texts, "text").groupBy("digest").agg(F.first("shingles").alias("shingles")))
+    sets = sets_of(known, reps, docs)
     seen = cut(compared(stars, sets))
-    near = seen.where("linked").select(F.col("hub").alias("a"), F.col("point").alias("b"))
+    joined = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    near = joined.union(seen.where("linked").select(F.col("hub").alias("a"), F.col("point").alias("b")))
     more = cut(similar(met(seen, cut(components(near))), sets))
     return components(near.union(more))
 
@@ -188,7 +211,7 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def surplus() -> DataFrame:
         known = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text"))
         marked = cut(signatures(known, "text"))
-        reps = cut(marked.groupBy("digest").agg(F.min("id").alias("rep"), F.min("own").alias("own"), F.first("bands").alias("bands")))
+        reps = cut(marked.groupBy("digest").agg(F.min("id").alias("rep"), F.min("own").alias("own"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
         comp = cut(links(reps, known.select("own", "text")))
         rooted = reps.select("digest", "rep").join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
         low = rooted.groupBy("root").agg(F.min("rep").alias("low"))

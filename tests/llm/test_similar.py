@@ -99,3 +99,28 @@ def test_sketches_bound_differences():
         y = np.union1d(x[: n // 2], y)
         bits = int(np.bitwise_count((similar.sketch(x) ^ similar.sketch(y)).view(np.uint64)).sum())
         assert bits <= len(np.setxor1d(x, y))
+
+
+def test_fingerprints_and_their_trees_link_first(spark, monkeypatch):
+    """The stage's links come from SimHash and its trees as far as those reach, and what they settle isn't looked at again."""
+    from estatelens.llm import simhash
+
+    rng = random.Random(6)
+    rows = []
+    for g in range(3):
+        words = prose(rng, 600).split(" ")
+        for k in range(4):
+            rows.append((10 * g + k, " ".join([*words, f"end{k}"]), "en", "s0", 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    made = {r["doc_id"]: r["fp"] & (2**64 - 1) for r in similar.signatures(df.select("doc_id", "text"), "text").collect()}
+    for r in rows:
+        hashes = [simhash.xxh64_intdigest(s.encode(), 42) for s in shingle_set(r[1])]
+        assert made[r[0]] == sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+    trees, compared, looked = simhash.links, similar.compared, []
+    calls = []
+    monkeypatch.setattr(simhash, "links", lambda fps, bits: calls.append((fps.count(), bits)) or trees(fps, bits))
+    monkeypatch.setattr(similar, "compared", lambda stars, sets: looked.append(stars.count()) or compared(stars, sets))
+    got = corpus_pipeline.simhash_near_dedup(spark, df, "")
+    assert Counter(map(tuple, got.collect())) == kept_by_brute_force(rows) == Counter(r for r in rows if r[0] % 10 == 0)
+    near = all(min(bin(made[i] ^ made[j]).count("1") for j in range(i // 10 * 10, i)) <= 2 for i in made if i % 10)
+    assert near and calls == [(len(set(made.values())), 2)] and looked == [0]
