@@ -15,7 +15,8 @@ numbers for each source and phase.
 
 Rows get their numbers within a source from counts in hash buckets and places within a bucket, so a source with a third of
 all rows is spread over all tasks, and a document's place is the same however rows are partitioned. Whole rows are shuffled
-once, by bucket; the bucket's part of the schedule joins them there. Nothing is broadcast but the sources' names and weights.
+once, by bucket; the bucket's part of the schedule joins them there. Buckets are cut by rows and by bytes, so that tasks get
+equal shares, of long texts as well. Nothing is broadcast but the sources' names and weights.
 
 Edge cases: a null source is a source of its own. A source without a weight, or with one that isn't positive, goes last, in
 phases of its own at equal weights. Rows that repeat are placed each; rows of a null or repeated id are ordered by their
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from fractions import Fraction
 from itertools import count, islice
 
@@ -40,8 +41,9 @@ from .common import cut, table
 BLOCK, EPOCH = 16, 4096
 #: Epochs of a task, about: some hundred thousand slots.
 TASK_EPOCHS = 64
-#: Rows of a bucket, about, in the largest source; buckets are named by the first hexadecimal digits of the rows' hashes.
-BUCKET_ROWS = 4096
+#: Rows of a bucket and their bytes, at most on average, in every source; buckets are named by the first hexadecimal digits of the
+#: rows' hashes. A task sorts and writes whole buckets, and there are few of them if they are large.
+BUCKET_ROWS, BUCKET_BYTES = 512, 1 << 20
 #: Without weights given, a source's is so many times the root of its count, as a whole number.
 SCALE = 1_000_000
 RESULTS = ("block_no", "phase", "released", "due", "slot", "position")
@@ -181,6 +183,15 @@ def plan(spark: SparkSession, counts: Mapping[str, int], weights: Mapping[str, f
     return tasks.repartition(n, "phase", "epoch").mapInArrow(work, PLAN)
 
 
+def bucket_digits(sources: Iterable[tuple[int, int]]) -> int:
+    """The least number of digits, one at least, that cuts sources of so many (rows, bytes) as finely as ``BUCKET_ROWS`` and ``BUCKET_BYTES`` say."""
+    digits = 1
+    for n, size in sources:
+        while min(n, max(-(-n // BUCKET_ROWS), -(-size // BUCKET_BYTES))) > 16**digits:
+            digits += 1
+    return digits
+
+
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", power: float = 0.5) -> DataFrame:
     """``docs`` with each row's block_no in its source, phase, released and due (slots in the phase), slot and position (0, 1, ...) in the mixture.
 
@@ -193,9 +204,10 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     # the order in a source is that of the rows' digests, whose first digits name the bucket: buckets in order hold the rows in order
     others = [c for c in docs.columns if c not in (id_col, source_col) and kinds[c] in ("string", "bigint", "int", "double", "boolean")]
     own = F.md5(F.concat_ws("\n", *(F.col(f"`{c}`").cast("string") for c in (id_col, source_col, *others))))
-    by_source = rows.groupBy("__mix_source").agg(F.count("*").alias("n")).collect()  # a row a source
+    wide = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)).cast("long") for c in docs.columns if kinds[c] in ("string", "binary")]
+    by_source = rows.groupBy("__mix_source").agg(F.count("*").alias("n"), F.sum(sum(wide, F.lit(0).cast("long"))).alias("size")).collect()  # a row a source
     counts = {r["__mix_source"]: r["n"] for r in by_source}
-    digits = max(1, math.ceil(math.log(max(counts.values()) / BUCKET_ROWS, 16))) if counts else 1
+    digits = bucket_digits((r["n"], r["size"]) for r in by_source)
     rows = rows.withColumn("__mix_hash", own).withColumn("__mix_bucket", F.substring("__mix_hash", 1, digits))
     if weights is None:
         named = {k: max(1, int(SCALE * (math.sqrt(n) if power == 0.5 else n**power))) for k, n in counts.items()}

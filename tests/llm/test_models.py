@@ -359,6 +359,18 @@ def test_mixing_in_several_epochs(spark, monkeypatch):
         assert r["phase"] or all(abs(done[k] - t * w / 10) < 1 for k, w in (("a", 1), ("b", 2), ("c", 7)))
 
 
+def test_mixing_cuts_buckets_of_long_texts_by_bytes(spark, monkeypatch):
+    """Of 40 MB in one source no bucket, which a task sorts and writes whole, holds over a MB by much, and every row is placed."""
+    made = []
+    monkeypatch.setattr(mixing, "cut", lambda df, own=mixing.cut: made.append(own(df)) or made[-1])
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("repeat(md5(string(id)), 3125)").alias("text"), F.lit("a").alias("source"))
+    out = mixing.mix(docs).select("doc_id", "position", F.octet_length("text").alias("size")).collect()
+    assert sorted(r["position"] for r in out) == sorted(r["doc_id"] for r in out) == list(range(400))
+    starts = [r["__mix_offset"] for r in made[0].orderBy("__mix_offset").collect()] + [400]
+    sizes = [r["size"] for r in sorted(out, key=lambda r: r["position"])]
+    assert max(sum(sizes[a:b]) for a, b in zip(starts, starts[1:])) < 1.5 * 2**20
+
+
 def test_mixing_takes_any_number_of_sources(spark):
     df = spark.createDataFrame([(i, f"s{i % 1100}") for i in range(1500)], "doc_id long, source string")
     out = mixing.mix(df, block=1).collect()
